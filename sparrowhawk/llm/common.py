@@ -49,6 +49,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lowers this session's limit on the bytes of an Arrow batch, so that long texts don't add up in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower()
+    number = int("".join(c for c in now if c.isdigit()) or 0) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
+    if number > size or number <= 0:
+        spark.conf.set(key, str(size))
+
+
 def open_store(uri: str):
     """(pyarrow file system, path) of a URI; works on executors for any scheme pyarrow knows."""
     from pyarrow import fs

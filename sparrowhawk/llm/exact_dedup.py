@@ -31,7 +31,7 @@ from collections import OrderedDict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import open_store, shared_path, shuffle_partitions, written
+from .common import bounded_batches, open_store, shared_path, shuffle_partitions, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
@@ -275,6 +275,7 @@ def build_index(docs: DataFrame, folder: str, capacity: int = 64, owner_bits: in
     that make the owner ranges. key_bits below 64 makes keys collide, for tests of chaining.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     combined = read.mapInArrow(_combiner(owner_bits, key_bits), COMBINED)
     dealt = combined.repartition(shuffle_partitions(spark), "owner")

@@ -61,7 +61,7 @@ def _words(key: Column) -> list[Column]:
     h = [F.xxhash64(F.lit(i), key) for i in (11, 12)]
     out = []
     for w in range(4):
-        bits = [F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(x, 6 * w).bitwiseAND(63).cast("int")) for x in h]
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 6 * w).bitwiseAND(63).cast("int")) for x in h]
         out.append(bits[0].bitwiseOR(bits[1]))
     return out
 
