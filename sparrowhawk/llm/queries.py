@@ -28,10 +28,33 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, thin_list(pages))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_pseudonyms import mask
+
+    return mask(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_url_filter": op6_url_filter,
+    "op8_packing": op8_packing,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 
