@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -34,6 +40,12 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,10 +61,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_url_filter": op6_url_filter,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
 }
@@ -69,6 +83,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(t) DESC, doc_i
 SELECT doc_id, f AS keep_id, c::BIGINT AS group_size, doc_id = f AS kept, sha256(k) AS text_sha256 FROM r""",
         "op4_sharding": sharding.oracle_sql(),
         "op6_url_filter": url_filter.ORACLE_SQL,
+        "op7_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) h FROM pages),
+d AS (SELECT page_id, octet_length(h) n, sha256(h) x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) m FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, x AS payload_digest, CASE WHEN n >= 100 AND page_id > m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > m THEN m END AS refers_to FROM f""",
     }
 
 
