@@ -282,10 +282,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(pairs, sets, threshold), "links")
     roots = components(links)
-    more = _remaining(members, roots, sets, threshold)
-    if more is not None:
-        links = links.unionAll(written(verified(more, sets, threshold), "links"))
-        roots = components(links)
+    open_ = _open_buckets(members, roots, sets, threshold)
+    if open_ is not None:
+        more = written(verified(_remaining(open_, threshold), sets, threshold), "links")
+        if not more.isEmpty():
+            roots = components(links.unionAll(more))
 
     class_root = classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("group_id"))
     rows = signed.select("doc_id", "digest").join(class_root, "digest", "left")
@@ -293,32 +294,41 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.select("doc_id", group.alias("group_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
-def _remaining(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
-    """Pairs that share a bucket but neither a component nor a comparison yet, or None.
+def _open_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """key, id, leader, root, apart, size, most of members of buckets in which some aren't with the leader; None if there is no such bucket.
 
-    A text is left out if its elements that no other member of such buckets has weigh more
-    than 1 - threshold of it: it cannot reach the threshold with any of them.
+    most: the weight of a text's elements that some other such member has. A text with less
+    than threshold of its weight cannot reach the threshold with any of them and is left out.
+    apart: its component isn't the leader's.
     """
-    placed = members.join(roots, "id", "left").select("key", "id", "leader", "n", F.coalesce("root", "id").alias("root"))
+    placed = members.where("n > 2").join(roots, "id", "left").select("key", "id", "leader", F.coalesce("root", "id").alias("root"))
     leading = placed.where("id = leader").select("key", F.col("root").alias("leading"))
-    placed = placed.where("n > 2").join(leading, "key")
-    # Only buckets of which some member isn't with the leader.
-    apart = placed.where("root <> leading").groupBy("key").agg(F.count("*").alias("apart"))
-    open_ = written(placed.join(apart, "key"), "open")
+    placed = placed.join(leading, "key").withColumn("apart", F.col("root") != F.col("leading"))
+    broken = placed.where("apart").select("key").distinct()
+    open_ = written(placed.join(broken, "key", "left_semi"), "open")
     if open_.isEmpty():
         return None
-    asked = open_.select("id").distinct()
-    each = sets.join(asked, "id", "left_semi").mapInArrow(_explode, "id long, element long")
-    common = each.groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("only"))
+    asked = sets.join(open_.select("id").distinct(), "id", "left_semi")
+    common = asked.mapInArrow(_explode, "id long, element long").groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("only"))
     alone = common.where("c = 1").groupBy(F.col("only").alias("id")).agg(F.count("*").alias("alone"))
-    sized = sets.join(asked, "id", "left_semi").select("id", (F.octet_length("elements") / 8).alias("size"))
-    able = written(sized.join(alone, "id", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - threshold) * F.col("size") + 1e-9).select("id"), "able")
-    open_ = open_.join(able, "id", "left_semi")
-    out = open_.where("root <> leading and id <> leader").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    all_ = open_.where("id <> leader").select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    # Each unordered pair once: members apart from the leader's component against one another by id, against it as they are.
-    pairs = out.join(all_, "key").where("ra <> rb")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sized = asked.select("id", (F.octet_length("elements") / 8).cast("long").alias("size"))
+    able = sized.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return written(open_.join(able.where(F.col("most") >= threshold * F.col("size") - 1e-9), "id"), "able")
+
+
+def _remaining(open_: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a bucket but neither a component nor (with a leader) a comparison, and that could reach the threshold."""
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("id", "root", "apart", "size", "most", "keys")]
+    keys = open_.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a text has BANDS keys at most
+    rows = open_.where("id <> leader").join(keys, "id")
+    # What the two have in common at most, and whether that would do.
+    both = F.least("most_a", "most_b")
+    reach = both >= threshold * (F.col("size_a") + F.col("size_b") - both) - 1e-9
+    # A pair is made once: in the first bucket that it shares, and by id if both are apart.
+    once = F.expr("(not apart_b or id_a < id_b) and key = array_min(array_intersect(keys_a, keys_b))")
+    pairs = rows.where("apart").select("key", *side("a")).join(rows.select("key", *side("b")), "key")
+    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & reach & once)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def _explode(batches):
