@@ -53,13 +53,16 @@ class WordEncoder:
     LETTERS = "a-z\xdf-\xf6\xf8-\xffā-ž"
     WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.cache = words, {}
+        #: Ids of the words met lately, and of those met before them: words still in use move over, others go.
+        self.most, self.cache, self.older = words, {}, {}
         #: Ids that end a word; all words end in one, and no other id of theirs does.
-        self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.is_end[ends] = True
 
     @staticmethod
     def packed(ids) -> bytes:
@@ -70,19 +73,24 @@ class WordEncoder:
         if self.OTHER.search(text) or "<|" in text:
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = self.WORDS.findall(text.lower())
-        new = [w for w in set(words) if w not in self.cache]
-        if new:
+        if new := set(words).difference(self.cache):
             if len(self.cache) + len(new) > self.most:
-                self.cache.clear()
-                new = list(set(words))
-            ids, at, ends = self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, 0, self.ends
-            raw, words_of = self.packed(ids), iter(new)
-            for i, x in enumerate(ids, 1):
-                if x in ends:
-                    self.cache[next(words_of)] = raw[4 * at : 4 * i]
-                    at = i
+                self.older, self.cache, new = self.cache, {}, set(words)
+            for w in new & self.older.keys():
+                self.cache[w] = self.older[w]
+            self._add(sorted(new.difference(self.cache)))
         return b"".join(map(self.cache.__getitem__, words))
 
+    def _add(self, new: list[str]) -> None:
+        """Encodes new words in one go: spaces part words, and each word's ids end with one that ends a word."""
+        if new:
+            ids = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            raw, at = self.packed(ids), 0
+            for w, end in zip(new, (4 * ends).tolist(), strict=True):
+                self.cache[w] = raw[at:end]
+                at = end
+
 
 @lru_cache(1)
 def encoder_of(path: str) -> WordEncoder:
