@@ -267,13 +267,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
     # Buckets of two classes or more; the leader is the member that meets most others over all bands.
+    # Counts and leaders are tables, so that a join's both sides come straight from an exchange and AQE can split a hot bucket.
     entries = classes.select("id", F.explode("bands").alias("key"))
-    counts = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = entries.join(counts, "key")
-    shared = written(shared, "shared")
-    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    ranked = shared.join(weight, "id").select("key", "id", "n", "w")
-    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("leader"))
+    counts = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    shared = written(entries.join(counts, "key"), "shared")
+    weight = written(shared.groupBy("id").agg(F.sum("n").alias("w")), "weight")
+    ranked = shared.join(weight, "id").select("key", "id", "w")
+    leaders = written(ranked.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("leader")), "leaders")
     members = written(shared.join(leaders, "key").select("key", "id", "n", "leader"), "members")
 
     ids = members.select("id").distinct()
