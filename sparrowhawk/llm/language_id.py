@@ -33,8 +33,10 @@ BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: The sample's bounds: rows of a language, languages, bytes of a row.
 PER_LANGUAGE, LANGUAGES, TRAIN_BYTES = 400, 100, 100_000
 CACHE_WORDS = 300_000
-#: The rejection score is this part of the least score of a right calibration document.
-MARGIN = 0.6
+#: Steps of stochastic gradient descent.
+STEPS = 8000
+#: The rejection score is this part of the least score of a right calibration document, and this at most.
+MARGIN, MOST_REJECTED = 0.6, 0.4
 
 
 def subwords(word: str) -> list[int]:
@@ -104,8 +106,8 @@ def _bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return b, (n / n.sum())[:, None]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """A model of the labelled texts; deterministic. Each epoch takes the whole text or a run of its words."""
+def train(texts: list[str], labels: list[str], steps: int = STEPS, rate: float = 0.5, seed: int = 7) -> Model:
+    """A model of the labelled texts; deterministic. A step takes a run of a text's words."""
     rows = [(w, y) for w, y in ((words_of(t), y) for t, y in zip(texts, labels)) if w]
     languages = sorted({y for _, y in rows})
     if not languages:
@@ -113,27 +115,26 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held = set(order[: len(rows) // 5].tolist())
-    fit = [i for i in order if i not in held]
+    fit = [int(i) for i in order if int(i) not in held]
     embed = rng.normal(0, 0.1, (BUCKETS, DIM))
     weights, bias = np.zeros((len(languages), DIM)), np.zeros(len(languages))
     weights += rng.normal(0, 0.1, weights.shape)
-    steps, done = epochs * max(1, len(fit)), 0
-    for epoch in range(epochs):
-        for i in rng.permutation(fit):
-            words, y = rows[i]
-            n = len(words)
-            size = min(n, 400 if epoch == 0 else int(rng.integers(4, 120)))
-            start = int(rng.integers(0, n - size + 1))
-            b, share = _bag(words[start : start + size])
-            h = (embed[b] * share).sum(axis=0)
-            g = softmax(weights @ h + bias)
-            g[languages.index(y)] -= 1
-            lr = rate * (1 - done / steps)
-            done += 1
-            back = weights.T @ g
-            weights -= lr * np.outer(g, h)
-            bias -= lr * 0.1 * g
-            embed[b] -= lr * DIM * share * back
+    for done in range(steps):
+        if done % len(fit) == 0:
+            fit = rng.permutation(fit).tolist()
+        words, y = rows[fit[done % len(fit)]]
+        n = len(words)
+        size = min(n, int(rng.integers(4, 300)))
+        start = int(rng.integers(0, n - size + 1))
+        lr = rate * (1 - done / steps)
+        b, share = _bag(words[start : start + size])
+        h = (embed[b] * share).sum(axis=0)
+        g = softmax(weights @ h + bias)
+        g[languages.index(y)] -= 1
+        back = weights.T @ g
+        weights -= lr * np.outer(g, h)
+        bias -= lr * 0.1 * g
+        embed[b] -= lr * DIM * share * back
     model = Model(languages, (embed @ weights.T).astype(np.float32), bias)
     calibrate(model, [rows[i] for i in (held or fit)])
     return model
@@ -154,7 +155,7 @@ def calibrate(model: Model, rows: list[tuple[list[str], str]]) -> None:
     model.temperature = best[1]
     p = np.array([softmax(r / model.temperature) for r in raw[: len(rows)]])
     right = p.max(axis=1)[p.argmax(axis=1) == y[: len(rows)]]
-    model.reject_below = float(min(0.5, MARGIN * right.min())) if len(right) else 0.0
+    model.reject_below = float(min(MOST_REJECTED, MARGIN * right.min())) if len(right) else 0.0
 
 
 def held_out(doc_id) -> "F.Column":

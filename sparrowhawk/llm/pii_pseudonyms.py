@@ -15,7 +15,8 @@ iban      country, check digits by mod 97                             digits and
 card      13 to 19 digits, Luhn                                       all but the check digit,
                                                                       which is made anew
 ssn       3-2-4 digits, area not 000, 666, 9xx, no zero part          within the valid numbers
-date      a day of the calendar, 1900 to 2099; Y-M-D, D.M.Y, M/D/Y    the day's number
+date      a day of the calendar, 1900 to 2099; Y-M-D, D.M.Y, M/D/Y    the day's number;
+                                                                      days and months get two digits
 phone     10 to 15 digits after + or (, or as 3-3-4                   digits after the country's
 number    13 to 19 digits alone that are not a card                   all digits
 ========  ==========================================================  ==========================
