@@ -31,6 +31,11 @@ def lines(content: Column) -> Column:
     return F.split(content, "\r?\n", -1)
 
 
+def strip(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def shannon_entropy(value: Column) -> Column:
     """Bits per character over the value's own characters; 0 for the empty string."""
     n = F.length(value).cast("double")
@@ -61,7 +66,7 @@ def mask_snippet(line: Column, match: Column) -> Column:
 
 def fingerprint(rule_id: Column, file: Column, snippet: Column) -> Column:
     """A finding's identity: 16 hex digits of SHA-1 over rule, file and trimmed snippet."""
-    return F.left(F.sha1(F.concat_ws(" ", rule_id, file, F.trim(F.coalesce(snippet, F.lit("")))).cast("binary")), F.lit(16))
+    return F.left(F.sha1(F.concat_ws(" ", rule_id, file, strip(F.coalesce(snippet, F.lit("")))).cast("binary")), F.lit(16))
 
 
 def glob_to_regex(glob: str) -> str:
@@ -79,7 +84,7 @@ ANON_KEY = r"supabase\w*anon|anon\w*key"
 
 
 def looks_like_placeholder(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     return value.isNull() | (F.length(v) < 6) | matches(v, PLACEHOLDER) | matches(v, ENV_REFERENCE, False)
 
 

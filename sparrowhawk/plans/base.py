@@ -71,7 +71,7 @@ def findings_sql(rules=RULES) -> str:
     return f"""{LINES_SQL}, hits AS ({hits}),
 shown AS (SELECT rule_id, severity, confidence, cwe, title, file, line, strpos(text, m)::INT AS "column", CASE WHEN length(m) >= 8 THEN replace(text, m, left(m, 4) || '****' || right(m, 2)) ELSE text END AS s FROM hits),
 masked AS (SELECT * EXCLUDE (s), CASE WHEN length(s) > 160 THEN left(s, 157) || '...' ELSE s END AS snippet FROM shown),
-findings AS (SELECT *, left(sha1(rule_id || ' ' || file || ' ' || trim(snippet, ' ')), 16) AS fingerprint FROM masked)"""
+findings AS (SELECT *, left(sha1(rule_id || ' ' || file || ' ' || regexp_replace(snippet, '^\\s+|\\s+$', '', 'g')), 16) AS fingerprint FROM masked)"""
 
 
 FINDINGS_SQL = findings_sql()

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.text import strip
 from ..operators.catalog import Rule
 from ..operators.lines import is_binary, scannable
 
@@ -53,7 +54,7 @@ def transcripts(files: DataFrame) -> DataFrame:
     arrays = files.where(F.col("file").endswith(".json")).select("file", F.posexplode(F.from_json(c, f"array<struct<{MESSAGE.replace(' string', ':string')}>>")).alias("_n", "m"))
     arrays = arrays.select("file", F.col("_n").alias("turn"), F.coalesce("m.role", "m.type").alias("role"), F.coalesce("m.content", "m.message", "m.text").alias("text"))
     plain = files.where(~F.col("file").rlike(r"\.jsonl?$")).select("file", F.posexplode(F.split(c, r"(?m)^(?:User|Human|Assistant|AI|>>>)[:\s]")).alias("_n", "x"))
-    plain = plain.where(F.trim("x") != "").select("file", F.col("_n").alias("turn"), F.when(F.col("_n") % 2 == 0, "user").otherwise("assistant").alias("role"), F.trim("x").alias("text"))
+    plain = plain.where(strip(F.col("x")) != "").select("file", F.col("_n").alias("turn"), F.when(F.col("_n") % 2 == 0, "user").otherwise("assistant").alias("role"), strip(F.col("x")).alias("text"))
     return by_line.unionByName(arrays).unionByName(plain)
 
 
