@@ -301,10 +301,10 @@ def _open_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, thresho
     than threshold of its weight cannot reach the threshold with any of them and is left out.
     apart: its component isn't the leader's.
     """
-    placed = members.where("n > 2").join(roots, "id", "left").select("key", "id", "leader", F.coalesce("root", "id").alias("root"))
-    leading = placed.where("id = leader").select("key", F.col("root").alias("leading"))
-    placed = placed.join(leading, "key").withColumn("apart", F.col("root") != F.col("leading"))
-    broken = placed.where("apart").select("key").distinct()
+    placed = written(members.where("n > 2").join(roots, "id", "left").select("key", "id", "leader", F.coalesce("root", "id").alias("root")), "placed")
+    leading = written(placed.where("id = leader").select("key", F.col("root").alias("leading")), "leading")
+    placed = written(placed.join(leading, "key").withColumn("apart", F.col("root") != F.col("leading")), "placed")
+    broken = written(placed.where("apart").select("key").distinct(), "broken")
     open_ = written(placed.join(broken, "key", "left_semi"), "open")
     if open_.isEmpty():
         return None
