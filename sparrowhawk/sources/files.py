@@ -12,9 +12,23 @@ from ..operators.catalog import Rule
 from ..operators.lines import is_binary, scannable
 
 
+#: Environment files are hidden files, which directory listings leave out; they are looked for to this depth.
+ENV_DEPTH = 4
+
+
+def _env_files(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    globs = [f"{root.rstrip('/')}/{'*/' * n}.env*" for n in range(ENV_DEPTH)]
+    return [str(x.getPath()) for g in globs for x in (fs.globStatus(path(g)) or []) if x.isFile()]
+
+
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """file, content of the text files below root that are scanned; paths and lengths are looked at before contents."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    raw = reader.load(root)
+    if hidden := _env_files(spark, root):
+        raw = raw.unionByName(reader.load(hidden))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace("path", f"^.*{re.escape(base)}/", "")
     kept = raw.select(rel.alias("file"), "length", "content").where(scannable(F.col("file"), F.col("length")) & ~is_binary(F.col("content")))
