@@ -26,7 +26,7 @@ def scannable(path: Column, length: Column, dirs=SKIPPED_DIRS, extensions=EXTENS
 
 def is_binary(content: Column) -> Column:
     """Whether a NUL is among the first bytes of a binary column."""
-    return F.instr(F.hex(F.substring(content, 1, SNIFFED)), "00") % 2 == 1
+    return F.contains(F.substring(content, 1, SNIFFED), F.lit(bytearray(b"\0")))
 
 
 def explode_lines(files: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
@@ -43,3 +43,14 @@ def near(test: Column, file: str, before: int, after: int) -> Column:
     """Whether the test holds on any line from `before` lines above to `after` below, within a file."""
     around = Window.partitionBy(file).orderBy("line").rowsBetween(-before, after)
     return F.max(test.cast("int")).over(around) == 1
+
+
+#: What marks a line's surroundings as deliberate.
+DELIBERATE = r"(?:eslint-disable|@ts-ignore|istanbul ignore|coverage ignore)"
+
+
+def safe_context(rows: DataFrame, file: str = "file") -> DataFrame:
+    """rows with safe: a deliberate mark within three lines on either side."""
+    from ..functions.text import matches
+
+    return rows.withColumn("safe", near(matches(F.col("text"), DELIBERATE), file, 3, 3))

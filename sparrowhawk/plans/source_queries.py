@@ -84,6 +84,22 @@ def taint_cross_file(spark, d):
     return taint.cross_file_flows(routes.unionByName(modules).unionByName(helpers))
 
 
+RECORDS = (
+    "const u = await User.findAll();\nconst v = u.filter(x => x.ok);\nres.json(v);", "const u = await User.findOne({ select: { id: true } });\nres.json(u);", "const u = await User.findOne();\nconst s = redact(u);\nres.json(s);",
+    "const q = req.query.q;\nconst h = '<b>' + q;\n<div v-html=\"h\"></div>",
+)
+
+
+@query(
+    "propagated",
+    "SELECT 'f' || c_custkey || '.js' AS file, 'pii.full-record-response' AS rule_id, 3 AS line, 1 AS \"column\" FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'f' || c_custkey || '.js', 'injection.xss-vue-v-html', 3, 6 FROM customer WHERE c_custkey % 4 = 3",
+)
+def propagated(spark, d):
+    from ..operators.propagation import propagated as run
+
+    return run(_files(spark, d, "customer", "c_custkey", "f{}.js", _case("c_custkey", 4, *RECORDS))).select("file", "rule_id", "line", "column")
+
+
 # -- rules of files ----------------------------------------------------------------------------------------------
 
 DOCKER = ("FROM node:latest\nENV API_KEY=abc\nRUN x", "FROM node:20\nUSER app", "FROM scratch\nADD https://x.org/a /a\nUSER root")

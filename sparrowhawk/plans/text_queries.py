@@ -273,3 +273,34 @@ def prompt_leak(spark, d):
     p = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", F.trim(flat(F.col("line"))).alias("line")).where(F.length("line") >= 16)
     t = table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("flat"))
     return t.join(p, F.col("flat").contains(F.col("line"))).select("doc_id", "item_id", "line").distinct()
+
+
+@query("json_leaves", "SELECT conv_id, turn, path, value FROM conversations, (VALUES ('$.role'), ('$.parts[0].text')) p(path), LATERAL (SELECT CASE path WHEN '$.role' THEN role ELSE text END AS value)")
+def json_leaves(spark, d):
+    """Texts in chat messages as JSON."""
+    from ..functions.messages import json_leaves as leaves
+
+    body = F.to_json(F.struct("role", F.array(F.struct("text")).alias("parts"), F.col("turn").alias("n")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(leaves(body)))
+
+
+@query("scan_text")
+def scan_text(spark, d):
+    from ..functions.messages import scan_text as scan
+
+    return table(spark, d, "documents").select("doc_id", F.inline(scan(F.col("text"))))
+
+
+@query("guard_redact")
+def guard_redact(spark, d):
+    from ..functions.messages import guard
+
+    return guard(table(spark, d, "documents").select("doc_id", "text"), "text", "redact").select("doc_id", "blocked", F.size("violations").alias("n"), "forwarded")
+
+
+@query("safe_context", f"WITH {LINES_SQL} SELECT file, line, max(regexp_matches(text, 'eslint-disable|@ts-ignore|istanbul ignore|coverage ignore', 'i')::INT) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS safe FROM (SELECT file, line, replace(text, '###', '@ts-ignore') AS text FROM lines)")
+def safe_context(spark, d):
+    """Lines with ### stand for those with a mark."""
+    from ..operators.lines import safe_context as safe
+
+    return safe(doc_lines(spark, d).withColumn("text", F.replace("text", F.lit("###"), F.lit("@ts-ignore")))).select("file", "line", "safe")

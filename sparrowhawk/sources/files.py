@@ -9,26 +9,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import strip
 from ..operators.catalog import Rule
-from ..operators.lines import is_binary, scannable
+from ..operators.lines import MAX_FILE, is_binary, scannable
 
 
-#: Environment files are hidden files, which directory listings leave out; they are looked for to this depth.
+#: Environment files are hidden files, which Spark's listings leave out; they are looked for to this depth.
 ENV_DEPTH = 4
 
 
-def _env_files(spark: SparkSession, root: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+def _env_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """path, length, content of environment files; they are few and small, and come through the driver's file system."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     globs = [f"{root.rstrip('/')}/{'*/' * n}.env*" for n in range(ENV_DEPTH)]
-    return [str(x.getPath()) for g in globs for x in (fs.globStatus(path(g)) or []) if x.isFile()]
+    found = [x for g in globs for x in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(g)) or []) if x.isFile() and x.getLen() <= MAX_FILE]
+    rows = []
+    for x in found:
+        stream = fs.open(x.getPath())
+        try:
+            rows.append((str(x.getPath()), x.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        finally:
+            stream.close()
+    return spark.createDataFrame(rows, "path string, length long, content binary") if rows else None
 
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """file, content of the text files below root that are scanned; paths and lengths are looked at before contents."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    raw = reader.load(root)
-    if hidden := _env_files(spark, root):
-        raw = raw.unionByName(reader.load(hidden))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    hidden = _env_files(spark, root)
+    raw = raw if hidden is None else raw.unionByName(hidden)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace("path", f"^.*{re.escape(base)}/", "")
     kept = raw.select(rel.alias("file"), "length", "content").where(scannable(F.col("file"), F.col("length")) & ~is_binary(F.col("content")))
