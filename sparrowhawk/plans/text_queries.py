@@ -268,11 +268,9 @@ t AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM document
 SELECT DISTINCT doc_id, item_id, line FROM t JOIN p ON length(line) >= 16 AND contains(flat, line)""",
 )
 def prompt_leak(spark, d):
-    """Protected lines of 16 characters or more in texts; the protected prompts are a stated set, broadcast if Spark knows them to be small."""
-    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    p = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", F.trim(flat(F.col("line"))).alias("line")).where(F.length("line") >= 16)
-    t = table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("flat"))
-    return t.join(p, F.col("flat").contains(F.col("line"))).select("doc_id", "item_id", "line").distinct()
+    from ..operators.leak import protected_lines
+
+    return protected_lines(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"))
 
 
 @query("json_leaves", "SELECT conv_id, turn, path, value FROM conversations, (VALUES ('$.role'), ('$.parts[0].text')) p(path), LATERAL (SELECT CASE path WHEN '$.role' THEN role ELSE text END AS value)")
