@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_batches
 
 Q, WINDOW, BUDGET, MIN_ITEM = 8, 80, 0.1, 24
-BLOCK_CHARS = 8_000_000
-#: log2 of the table that rules out most q-grams at once; characters scanned together.
-TABLE_BITS, SCAN_CHARS = 22, 1 << 21
+BLOCK_CHARS = 1_000_000
+#: Slots for each q-gram in the table that rules out most others at once; characters scanned together.
+SLOTS, SCAN_CHARS = 64, 1 << 21
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,15 +107,17 @@ class Matcher:
         self.owner = (np.concatenate(owner) if grams else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(place) if grams else np.zeros(0, np.int64))[order]
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.grams * FACTOR) >> np.uint64(64 - TABLE_BITS)] = True
+        bits = min(26, max(16, (SLOTS * len(self.grams)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.grams * FACTOR) >> self.shift] = True
 
     def hits(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text positions and gram numbers of the q-grams that windows have."""
         found = []
         for s in range(min(Q, max(0, len(one) - Q + 1))):
             g = one[s : s + (len(one) - s) // 8 * 8].view("<u8")
-            at = np.flatnonzero(self.table[(g * FACTOR) >> np.uint64(64 - TABLE_BITS)])
+            at = np.flatnonzero(self.table[(g * FACTOR) >> self.shift])
             n = np.searchsorted(self.grams, g[at])
             n[n == len(self.grams)] = 0
             same = self.grams[n] == g[at]
