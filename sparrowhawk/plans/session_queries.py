@@ -132,7 +132,7 @@ def trace_prompts(spark, d):
     return sessions.trace_findings(f, table(spark, d, "conversations")).select("line", "conv_id", "turn")
 
 
-@query("behavior_stream")
+@query("behavior_stream", f"WITH {_ACTS}, r AS (SELECT user_id, count(*) AS events, sum(risk)::BIGINT AS risk_score FROM a GROUP BY user_id) SELECT *, {_LEVEL} AS risk_level FROM r")
 def behavior_stream(spark, d):
     """Session totals as the streaming operator gives them, over the events table as one micro-batch."""
     from ..streaming.sessions import totals_of
