@@ -73,3 +73,14 @@ def test_git_blobs(spark, tmp_path):
     spark.dataSource.register(GitBlobs)
     got = sorted((r["file"], r["content"]) for r in spark.read.format("git_blobs").load(str(tmp_path)).collect())
     assert [c for _, c in got].count("one") == 1 and ("a.txt", "two é") in got and len(got) == 2
+
+
+def test_protected_lines(spark):
+    from sparrowhawk.operators.leak import protected_lines
+
+    items = spark.createDataFrame([(1, "a protected line here\nshort"), (2, "another   protected\tline"), (3, None), (4, "a protected line here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a protected\n line here y"), (2, "another protected line, a protected line here"), (3, None), (4, "nothing")], "doc_id long, text string")
+    want = [(1, 1), (1, 4), (2, 1), (2, 2), (2, 4)]
+    for size in (1_000_000, 20):
+        assert sorted((r["doc_id"], r["item_id"]) for r in protected_lines(docs, "doc_id", "text", items, size).collect()) == want
+    assert protected_lines(docs, "doc_id", "text", items.where("false")).count() == 0
