@@ -113,14 +113,15 @@ def firewall(df: DataFrame, text: str = "text", with_pii: bool = True) -> DataFr
     (warn). sanitized is null for blocked prompts and has personal data redacted for redact.
     """
     t = F.col(text)
-    named = [F.when(matches(t, p), F.lit(name)) for name, _, _, p in THREATS]
-    levels = [F.when(matches(t, p), F.lit(ACTIONS[a])).otherwise(1) for _, _, a, p in THREATS]
+    item = lambda name, action: F.struct(F.lit(name).alias("name"), F.lit(ACTIONS[action]).alias("level"))
+    hits = [F.when(matches(t, p), item(name, action)) for name, _, action, p in THREATS]
     if with_pii:
         df = df.withColumn("_pii", F.size(pii.detect_pii(t, PII_IN_PROMPT)))
-        named.append(F.when(F.col("_pii") > 0, F.lit("PII.IN_PROMPT")))
-        levels.append(F.when(F.col("_pii") > 0, F.lit(ACTIONS["redact"])).otherwise(1))
+        hits.append(F.when(F.col("_pii") > 0, item("PII.IN_PROMPT", "redact")))
     kept = [c for c in df.columns if c != "_pii"]
-    df = classify(df.withColumns({"_threats": F.array_compact(F.array(*named)), "_level": F.greatest(*levels)}), text)
+    df = df.withColumn("_hits", F.array_compact(F.array(*hits)))
+    level = F.coalesce(F.array_max(F.transform("_hits", lambda h: h["level"])), F.lit(1))
+    df = classify(df.withColumns({"_threats": F.transform("_hits", lambda h: h["name"]), "_level": level}), text)
     suspicious = (F.col("_level") < ACTIONS["block"]) & (F.col("score") >= SUSPICIOUS)
     threats = F.when(suspicious, F.array_append("_threats", "SEMANTIC.SUSPICIOUS_PROMPT")).otherwise(F.col("_threats"))
     level = F.when(suspicious, F.greatest(F.col("_level"), F.lit(ACTIONS["warn"]))).otherwise(F.col("_level"))

@@ -10,9 +10,36 @@ from pyspark.sql import Column, functions as F
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+#: The same where a word character is known to follow, which is much cheaper at every place of a text.
+BEFORE_WORD = r"(?<![A-Za-z0-9_])"
+
+
+def _group_end(pattern: str, at: int) -> int:
+    """Where the group that opens at a place of the pattern closes."""
+    depth = 0
+    for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|[()]", pattern[at:]):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if depth == 0:
+            return at + m.start()
+    return len(pattern)
+
+
+def _word_follows(pattern: str, at: int) -> bool:
+    """Whether what stands at a place of the pattern starts with a word character in every case."""
+    rest = pattern[at:]
+    opened = re.match(r"\((?:\?:)?(?!\?)", rest)
+    if opened:
+        end = _group_end(pattern, at)
+        inner = pattern[at + opened.end() : end]
+        if pattern[end + 1 : end + 2] in ("?", "*") or pattern[end + 1 : end + 3] == "{0" or re.search(r"[()\[\\]", inner):
+            return False
+        return all(re.match(r"[A-Za-z0-9_](?![?*]|\{0)", x) for x in inner.split("|"))
+    return bool(re.match(r"[A-Za-z0-9_](?![?*]|\{0)", rest))
+
+
 def java(pattern: str, ignore_case: bool = True) -> str:
     """A rule's pattern as a Java pattern with ASCII word boundaries."""
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + EDGE, pattern)
+    out = re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + (BEFORE_WORD if _word_follows(pattern, m.end()) else EDGE), pattern)
     return f"(?i){out}" if ignore_case else out
 
 
@@ -115,3 +142,44 @@ def required_literal(pattern: str) -> str | None:
             run = ""
     best = max([*runs, run], key=len, default="")
     return best if len(best) >= 4 else None
+
+
+def _needed(parsed, most: int = 24) -> set[str] | None:
+    """Lower-case literals of which every match of a parsed pattern has one; the choice with the longest shortest."""
+    from re import _constants as c
+
+    best: set[str] | None = None
+
+    def offer(found):
+        nonlocal best
+        if found and all(len(x) >= 3 for x in found) and len(found) <= most:
+            rank = lambda x: (min(map(len, x)), -len(x))
+            best = found if best is None or rank(found) > rank(best) else best
+
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is c.LITERAL and arg < 128:
+            run += chr(arg).lower()
+            continue
+        offer({run} if run else None)
+        run = ""
+        if op is c.SUBPATTERN:
+            offer(_needed(arg[3], most))
+        elif op is c.BRANCH:
+            each = [_needed(x, most) for x in arg[1]]
+            offer(set().union(*each) if all(each) else None)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and arg[0] >= 1:
+            offer(_needed(arg[2], most))
+        elif op is c.ATOMIC_GROUP:
+            offer(_needed(arg, most))
+    return best
+
+
+def needed_literals(pattern: str) -> set[str] | None:
+    """Literals (lower case, three characters or more) of which every match has one; None where no such set is plain.
+
+    Lower-casing a text can't hide one of them, as only ASCII letters are looked at.
+    """
+    from re import _parser
+
+    return _needed(_parser.parse(pattern, re.A))

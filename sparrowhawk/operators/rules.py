@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import ANON_KEY, ENV_REFERENCE, PLACEHOLDER, PUBLIC_KEY_NAME, PUBLIC_KEY_VALUE, fingerprint, required_literal
+from ..functions.text import ANON_KEY, ENV_REFERENCE, PLACEHOLDER, PUBLIC_KEY_NAME, PUBLIC_KEY_VALUE, fingerprint, needed_literals
 from .catalog import CORE, PII_FIELD, SECRET_FIELD, SHAPING, Rule
 from .lines import LONG_LINE
 
@@ -109,17 +109,21 @@ FILTERS = {
 
 
 class Compiled:
-    """A rule made ready in a worker: pattern, literal that must be there, predicate."""
+    """A rule made ready in a worker: pattern, literals of which one must be there, predicate."""
 
-    __slots__ = ("rule", "pattern", "literal", "keep", "files")
+    __slots__ = ("rule", "pattern", "literals", "keep", "files")
 
     def __init__(self, rule: Rule):
         self.rule = rule
         self.pattern = re.compile(rule.pattern.replace("[^]", r"[\s\S]"), re.A | (re.I if rule.ignore_case else 0))
-        self.literal = required_literal(rule.pattern)
+        self.literals = tuple(sorted(needed_literals(self.pattern.pattern) or ()))
         self.keep = FILTERS.get(rule.filter)
         self.files = re.compile(rule.file_filter) if rule.file_filter else None
 
+    def may_match(self, low: str) -> bool:
+        """Whether a lower-cased text has what every match has."""
+        return not self.literals or any(x in low for x in self.literals)
+
 
 def masked(line: str, match: str) -> str:
     out = line.replace(match, f"{match[:4]}****{match[-2:]}") if len(match) >= 8 else line
@@ -129,7 +133,7 @@ def masked(line: str, match: str) -> str:
 def hits_of(path: str, content: str, rules: list[Compiled]) -> list[dict]:
     """Findings of one file. A line over LONG_LINE characters is not searched; the file's literals rule out most rules first."""
     low = content.lower()
-    active = [r for r in rules if (r.literal is None or r.literal in low) and (r.files is None or r.files.search(path))]
+    active = [r for r in rules if r.may_match(low) and (r.files is None or r.files.search(path))]
     if not active:
         return []
     out = []
@@ -139,7 +143,7 @@ def hits_of(path: str, content: str, rules: list[Compiled]) -> list[dict]:
         low, comment = line.lower(), bool(COMMENT.match(line))
         for c in active:
             r = c.rule
-            if c.literal is not None and c.literal not in low or comment and r.skip_comments:
+            if comment and r.skip_comments or not c.may_match(low):
                 continue
             for m in c.pattern.finditer(line):
                 if r.skip_in_string and inside_string(line, m.start()) or c.keep and not c.keep(line, m):

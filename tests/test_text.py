@@ -40,6 +40,20 @@ def test_required_literal(pattern, want):
     assert text.required_literal(pattern) == want
 
 
+@pytest.mark.parametrize("pattern, want", [("a|b", None), ("abc|defg", {"abc", "defg"}), (r"\b(?:eval|spawn)\s*\(", {"eval", "spawn"}), ("(?:abc)?xyz", {"xyz"}), ("[abc]+", None), ("(?:foo){2}b", {"foo"}), ("(?!nothere)abcd", {"abcd"}), ("x(?:longer|longest)", {"xlonge"}), (r"DAN|abc", {"dan", "abc"})])
+def test_needed_literals(pattern, want):
+    assert text.needed_literals(pattern) == want
+
+
+@pytest.mark.parametrize("pattern, cheap", [(r"\bx", True), (r"\b(?:a|b)c", True), (r"\b(?:a|-b)c", False), (r"\b(?:a)?-", False), (r"\ba?-", False), (r"\b[a-z]", False), (r"\b(?:a(?:b|c))d", False)])
+def test_cheap_edges(spark, pattern, cheap):
+    import re
+
+    assert (text.EDGE not in text.java(pattern)) == cheap
+    for t in ("x", "ax", " x", "-b", "a-", "äx", "ac", "abd", "b", "-", "ä-bc", "a c", "1ac"):
+        assert value(spark, t, lambda c: text.matches(c, pattern)) == bool(re.search(pattern, t, re.I | re.A)), (pattern, t)
+
+
 def test_literal_is_never_missing_from_a_match():
     import re
 
