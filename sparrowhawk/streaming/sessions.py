@@ -83,3 +83,12 @@ def delta_violations(deltas: DataFrame, tail: int = 256) -> DataFrame:
 def changed_paths(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """Distinct (path, ts) of file events within a watermark, as a debounce."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path"])
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Starts writing a stream to a Parquet table, a folder for each micro-batch; a batch that is run again replaces its own folder."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).start()
