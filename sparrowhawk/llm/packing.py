@@ -51,7 +51,8 @@ class WordEncoder:
     #: Characters on which Python's and the tokenizer's normalisation and classes agree.
     OTHER = re.compile("[^\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]")
     LETTERS = "a-z\xdf-\xf6\xf8-\xffā-ž"
-    WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
+    #: The tokenizer's alternatives; those for letters and digits start unlike the others and may come first.
+    WORDS = re.compile(f"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9{LETTERS}]+")
 
     def __init__(self, path: str, words: int = 250_000):
         from tokenizers import Tokenizer
