@@ -295,11 +295,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
-    """key, id, leader, root, apart, size, most of members of buckets in which some aren't with the leader; None if there is no such bucket.
+    """key, id, leader, root, apart, size, parts, most of members of buckets in which some aren't with the leader; None if there is no such bucket.
 
-    most: the weight of a text's elements that some other such member has. A text with less
-    than threshold of its weight cannot reach the threshold with any of them and is left out.
-    apart: its component isn't the leader's.
+    parts: in each of PARTS hash parts, how many of a text's elements some other such member
+    has; most: their sum. A text with less than threshold of its weight cannot reach the
+    threshold with any of them and is left out. apart: its component isn't the leader's.
     """
     placed = written(members.where("n > 2").join(roots, "id", "left").select("key", "id", "leader", F.coalesce("root", "id").alias("root")), "placed")
     leading = written(placed.where("id = leader").select("key", F.col("root").alias("leading")), "leading")
@@ -310,20 +310,25 @@ def _open_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, thresho
         return None
     asked = sets.join(open_.select("id").distinct(), "id", "left_semi")
     common = asked.mapInArrow(_explode, "id long, element long").groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("only"))
-    alone = common.where("c = 1").groupBy(F.col("only").alias("id")).agg(F.count("*").alias("alone"))
-    sized = asked.select("id", (F.octet_length("elements") / 8).cast("long").alias("size"))
-    able = sized.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    part = F.pmod("element", F.lit(PARTS).cast("long")).cast("int")
+    alone = common.where("c = 1").groupBy(F.col("only").alias("id"), part.alias("part")).agg(F.count("*").cast("int").alias("n"))
+    alone = alone.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))  # PARTS entries at most
+    able = asked.mapInArrow(_part_sizes, "id long, size int, parts array<int>").join(alone, "id", "left")
+    own = lambda i: F.coalesce(F.try_element_at("alone", i), F.lit(0))
+    able = able.select("id", "size", F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda n, i: n - own(i))).alias("parts"))
+    able = able.withColumn("most", F.aggregate("parts", F.lit(0), lambda x, n: x + n))
     return written(open_.join(able.where(F.col("most") >= threshold * F.col("size") - 1e-9), "id"), "able")
 
 
 def _remaining(open_: DataFrame, threshold: float) -> DataFrame:
     """Pairs that share a bucket but neither a component nor (with a leader) a comparison, and that could reach the threshold."""
-    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("id", "root", "apart", "size", "most", "keys")]
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("id", "root", "apart", "size", "parts", "most", "keys")]
     keys = open_.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a text has BANDS keys at most
     rows = open_.where("id <> leader").join(keys, "id")
-    # What the two have in common at most, and whether that would do.
-    both = F.least("most_a", "most_b")
-    reach = both >= threshold * (F.col("size_a") + F.col("size_b") - both) - 1e-9
+    # What the two have in common at most, over all and part by part, and whether that would do.
+    enough = lambda both: both * (1 + threshold) >= threshold * (F.col("size_a") + F.col("size_b")) - 1e-9
+    by_part = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, n: x + n)
+    reach = enough(F.least("most_a", "most_b")) & enough(by_part)
     # A pair is made once: in the first bucket that it shares, and by id if both are apart.
     once = F.expr("(not apart_b or id_a < id_b) and key = array_min(array_intersect(keys_a, keys_b))")
     pairs = rows.where("apart").select("key", *side("a")).join(rows.select("key", *side("b")), "key")
@@ -331,6 +336,17 @@ def _remaining(open_: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
+#: Hash parts in which two texts' elements are counted to bound what they have in common.
+PARTS = 64
+
+
+def _part_sizes(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        parts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(parts, pa.list_(pa.int32()))], names=["id", "size", "parts"])
+
+
 def _explode(batches):
     for batch in batches:
         ids, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
