@@ -165,7 +165,8 @@ def held_out(doc_id) -> "F.Column":
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of the documents with a language that aren't held out; reads a bounded sample of their texts."""
-    can = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    can = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # Counts look at ids and languages only; the texts are read once, for the sample.
     counts = can.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return train([], [])
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     chance = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     rows = (
         can.where(F.try_element_at(share, F.col("lang")) > chance)
-        .where(F.octet_length("text") <= TRAIN_BYTES)
+        .where(F.octet_length("text") <= TRAIN_BYTES)  # neither null nor too long
         .select(F.xxhash64(F.lit(2), "doc_id").alias("h"), "text", "lang")
         .limit(2 * per_language * LANGUAGES)
         .collect()
