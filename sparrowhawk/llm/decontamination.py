@@ -1,13 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping windows of WINDOW characters. A window is leaked in
-a text if a region of the text is within its edit budget, BUDGET of its characters. Such a
-region shares at least ``w - q + 1 - k q`` of the window's w - q + 1 q-grams (k: the edits),
-and these lie within k diagonals (text position less window position). So:
-
-1. Every text is scanned for the windows' q-grams; hits are counted in overlapping bands of
-   2 k diagonals, stepping by k, so that one band has all the diagonals of a region.
-2. Bands with fewer hits than the bound are dropped; no region within the budget is lost.
+Benchmark items are cut into windows of WINDOW characters that overlap by half, and of SHORT
+characters, one each STRIDE; the last of each size is at the item's end. A window is leaked in a text if a region of the text is
+within its edit budget, BUDGET of its characters. So a passage of SHORT + STRIDE - 1 = 55
+characters or more, from anywhere in an item, holds a whole window. A leaked region shares at
+least ``w - q + 1 - k q`` of the window's w - q + 1 q-grams (k: the edits), and these lie
+within k diagonals (text position less window position). So:
+
+1. Every text is scanned for the items' q-grams; hits are counted in overlapping bands of
+   diagonals of the whole item, and items whose bands could not hold any window are dropped.
+2. The hits left are dealt to the windows that have them, and counted in overlapping bands of
+   2 k diagonals, stepping by k, so that one band has all the diagonals of a region. Bands
+   with fewer hits than the bound are dropped; no region within the budget is lost.
 3. The others are verified: alignment of the window with the text, restricted to the band
    and k diagonals on either side, with free ends in the text.
 
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches
 
-Q, WINDOW, BUDGET, MIN_ITEM = 8, 80, 0.1, 24
+Q, WINDOW, SHORT, STRIDE, BUDGET, MIN_ITEM = 8, 80, 48, 8, 0.1, 24
 BLOCK_CHARS = 1_000_000
 #: Slots for each q-gram in the table that rules out most others at once; characters scanned together.
 SLOTS, SCAN_CHARS = 64, 1 << 21
@@ -65,17 +69,20 @@ def qgrams(one: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut(length: int, size: int = WINDOW) -> list[tuple[int, int]]:
-    """Starts and ends of the windows of an item: half overlapping, the last at the item's end."""
-    if length <= size:
-        return [(0, length)]
-    starts = list(range(0, length - size, size // 2)) + [length - size]
-    return [(s, s + size) for s in starts]
+def sizes(length: int) -> list[tuple[int, int]]:
+    """The sizes of an item's windows, and from how many characters to how many they start."""
+    whole = [(min(length, WINDOW), WINDOW // 2)]
+    return whole + [(SHORT, STRIDE)] if length > SHORT else whole
+
+
+def cut(length: int) -> list[tuple[int, int]]:
+    """Starts and ends of the windows of an item: those of each size, the last at the item's end."""
+    return [(s, s + size) for size, step in sizes(length) for s in [*range(0, length - size, step), length - size]]
 
 
 @dataclass
 class Matcher:
-    """The windows of benchmark items, and their q-grams with where they occur."""
+    """The windows of benchmark items, and the items' q-grams with where they occur."""
 
     items: list[tuple[int, str]]
 
@@ -83,21 +90,31 @@ class Matcher:
         self.windows: list[tuple[int, int, int]] = []  # item's id, windows of the item, start in the item
         patterns, self.k, self.need = [], [], []
         grams, owner, place = [], [], []
-        for item, text in sorted(set(self.items)):
+        every = sorted(set(self.items))
+        #: By item and size of its windows: the size, the first window, how many (0: none), the step.
+        self.families = np.tile(np.array([0, 0, 0, 1], np.int64), (len(every), 2, 1))
+        self.least = np.zeros(len(every), np.int64)
+        for number, (item, text) in enumerate(every):
+            full, one = codes(text)
+            full, first = full.astype(np.uint32), len(self.windows)
+            g = qgrams(one)
+            grams.append(g)
+            owner.append(np.full(len(g), number))
+            place.append(np.arange(len(g)))
             spans = cut(len(text))
-            for s, e in spans:
-                full, one = codes(text[s:e])
-                w = e - s
-                k = max(0, min(int(BUDGET * w), (w - Q - 1) // Q))
-                g = qgrams(one)
-                grams.append(g)
-                owner.append(np.full(len(g), len(self.windows)))
-                place.append(np.arange(len(g)))
-                self.windows.append((item, len(spans), s))
-                patterns.append(full.astype(np.uint32))
-                self.k.append(k)
-                self.need.append(w - Q + 1 - k * Q)
+            for i, (size, step) in enumerate(sizes(len(text))):
+                self.families[number, i] = size, len(self.windows), sum(e - s == size for s, e in spans), step
+                for s, e in spans:
+                    if e - s == size:
+                        k = max(0, min(int(BUDGET * size), (size - Q - 1) // Q))
+                        self.windows.append((item, len(spans), s))
+                        patterns.append(full[s:e])
+                        self.k.append(k)
+                        self.need.append(size - Q + 1 - k * Q)
+            self.least[number] = min(self.need[first:])
         self.k, self.need = np.array(self.k, np.int64), np.array(self.need, np.int64)
+        self.starts = np.array([s for _, _, s in self.windows], np.int64)
+        self.longest = max((len(t) for _, t in every), default=0)
         self.length = np.array([len(p) for p in patterns], np.int64)
         self.patterns = np.zeros((len(patterns), int(self.length.max(initial=0))), np.uint32)
         for i, p in enumerate(patterns):
@@ -124,13 +141,34 @@ class Matcher:
             found.append((at[same] * 8 + s, n[same]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
-    def candidates(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and first diagonals of the bands that meet the bound; diagonals count from -WINDOW."""
+    def dense(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text positions, items and places in these of the q-grams in bands that could hold a window."""
         at, gram = self.hits(one)
         n = self.count[gram]
         entry = np.repeat(self.first[gram] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
-        window = self.owner[entry]
-        diagonal = np.repeat(at, n) - self.place[entry] + WINDOW
+        at, item, place = np.repeat(at, n), self.owner[entry], self.place[entry]
+        step = max(1, int(BUDGET * WINDOW))  # as wide as the most edits of any window
+        span = (len(one) + self.longest) // step + 3
+        keys, back, counts = np.unique(item * span + (at - place + self.longest) // step, return_inverse=True, return_counts=True)
+        after = np.zeros(len(keys), np.int64)
+        after[:-1] = np.where(np.diff(keys) == 1, counts[1:], 0)
+        before = np.zeros(len(keys), np.int64)
+        before[1:] = np.where(np.diff(keys) == 1, counts[:-1], 0)
+        ok = (counts + np.maximum(before, after) >= self.least[keys // span])[back]
+        return at[ok], item[ok], place[ok]
+
+    def candidates(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and first diagonals of the bands that meet the bound; diagonals count from -WINDOW."""
+        at, item, place = self.dense(one)
+        found = []
+        for size, first, many, step in np.moveaxis(self.families[item], 0, 2):  # windows that have the place: from low to high
+            low = np.minimum(-(-np.maximum(place - size + Q, 0) // step), many - 1)
+            high = np.where(place >= self.starts[first + many - 1], many - 1, place // step)
+            n = np.where(many > 0, high - low + 1, 0)
+            hit = np.repeat(np.arange(len(at)), n)
+            found.append((hit, (first + low)[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)))
+        hit, window = (np.concatenate(x) for x in zip(*found))
+        diagonal = at[hit] - place[hit] + self.starts[window] + WINDOW
         step = np.maximum(self.k, 1)[window]
         band = diagonal // step
         span = len(one) + 2 * WINDOW + 2

@@ -85,3 +85,21 @@ def test_empty_tables(spark):
     assert D.leaks(docs.where("false"), bench).count() == 0
     assert D.leaks(docs, bench.where("false")).count() == 0
     assert D.leaks(docs, bench).count() == 1
+
+
+def test_part_passages_at_any_offset(spark):
+    """Verbatim stretches of 55 characters and more, wherever they start; the expectation doesn't use cut()."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioustrnlmdp") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, D.normalised(prose(rng.randrange(12, 60)))) for i in range(30)]
+    docs, want = [], set()
+    for n in range(200):
+        i, item = rng.choice([x for x in items if len(x[1]) >= 60])
+        size = rng.randrange(55, min(len(item), 115) + 1)
+        at = rng.randrange(len(item) - size + 1)
+        docs.append((n, f"{prose(20)} zq{item[at : at + size]}zq {prose(20)}"))
+        want.add((n, i))
+    docs += [(1000 + n, prose(200)) for n in range(50)]
+    got = D.leaks(documents(spark, docs, extra=False), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
