@@ -21,7 +21,8 @@ phone     10 to 15 digits after + or (, or as 3-3-4                   digits aft
 number    13 to 19 digits alone that are not a card                   all digits
 ========  ==========================================================  ==========================
 
-Kinds are tried in this order; spans of an earlier kind are not looked at again.
+Kinds are tried in this order; spans of an earlier kind are not looked at again. Where an IBAN or
+card in groups isn't valid, it is tried without its last groups, then from its later groups on.
 
 Cases: a null text stays null with no values; every row is handled by itself (repeated rows
 give repeated results, equal values equal pseudonyms); texts without personal data are
@@ -52,10 +53,12 @@ PATTERNS = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![A-Za-z0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9]|[.-][0-9])"),
     "ssn": re.compile(r"(?<![A-Za-z0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![A-Za-z0-9]|-[0-9])"),
-    "date": re.compile(r"(?<![A-Za-z0-9./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})|([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}))(?![A-Za-z0-9]|[./-][0-9])"),
+    "date": re.compile(r"(?<![A-Za-z0-9./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})|([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}))(?:(?=[Tt][0-9]{2})|(?![A-Za-z0-9]|[./-][0-9]))"),
     "phone": re.compile(r"(?<![A-Za-z0-9.-])(?:(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{1,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9]|[.-][0-9])"),
     "number": re.compile(r"(?<![A-Za-z0-9.])[0-9]{13,19}(?![A-Za-z0-9]|\.[0-9])"),
 }
+#: Kinds written in groups, whose pattern may take in groups that follow the value.
+GROUPED, BORDER = ("iban", "card"), re.compile(r"[ -]")
 HINT = re.compile(r"[0-9@]")
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
@@ -216,17 +219,28 @@ def find(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:
     for kind in KINDS:
         if kind == "email" and "@" not in text or kind != "email" and not digit:
             continue
-        for m in PATTERNS[kind].finditer(text):
-            s, e = m.span()
-            if taken.find(1, s, e) >= 0:
-                continue
-            new = names.of(kind, m[0])
-            if new is not None:
-                found.append((s, e, kind, new))
-                taken[s:e] = b"\x01" * (e - s)
+        at = 0
+        while m := PATTERNS[kind].search(text, at):
+            s, at = m.span()
+            for e in ends(kind, text, s, at):
+                if taken.find(1, s, e) < 0 and (new := names.of(kind, text[s:e])) is not None:
+                    found.append((s, e, kind, new))
+                    taken[s:e] = b"\x01" * (e - s)
+                    at = e
+                    break
+            else:
+                if kind in GROUPED and (inner := BORDER.search(text, s, at)):
+                    at = inner.end()  # a valid value may begin at a later group
     return sorted(found)
 
 
+def ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a match may end: as it does, or, for kinds in groups, at an earlier group's end, the longest first."""
+    if kind not in GROUPED:
+        return [end]
+    return [end, *(i for i in range(end - 1, start, -1) if text[i] in " -")]
+
+
 def pseudonymise(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple[int, int, str, str]]]:
     if text is None:
         return None, []

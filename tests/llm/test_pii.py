@@ -64,3 +64,17 @@ def test_dates_are_dates():
         assert N.of("date", f"{d.day:02d}.{d.month:02d}.{d.year}") == f"{new.day:02d}.{new.month:02d}.{new.year}"
         seen.add((d, new))
     assert len({a for a, _ in seen}) == len({b for _, b in seen})
+
+
+def test_values_before_other_groups_and_times():
+    for text, value, kind in [
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"), ("no 1234 4111 1111 1111 1111 end", "4111 1111 1111 1111", "card"),
+        ("BE68 5390 0754 7034 2024", "BE68 5390 0754 7034", "iban"), ("DE89 3704 0044 0532 0130 00 2024", "DE89 3704 0044 0532 0130 00", "iban"), ("at 2024-01-05T10:00:00Z.", "2024-01-05", "date"),
+    ]:
+        new, spans = I.pseudonymise(text, N)
+        s = text.index(value)
+        assert (s, s + len(value), kind) in [x[:3] for x in spans], text
+        assert value not in new and new[s + len(value) :].startswith(text[s + len(value) :][:1])
+        assert I.pseudonymise(new, BACK)[0] == text
+    assert I.pseudonymise("2024-01-05T10:00:00Z", N)[0][:10] == I.pseudonymise("on 2024-01-05", N)[0][3:]
+    assert I.pseudonymise("2024-01-05Term", N)[0] == "2024-01-05Term"
