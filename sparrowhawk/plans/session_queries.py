@@ -132,6 +132,13 @@ def trace_prompts(spark, d):
     return sessions.trace_findings(f, table(spark, d, "conversations")).select("line", "conv_id", "turn")
 
 
+@query("trace_prompts_all")
+def trace_prompts_all(spark, d):
+    """The beginnings of all documents, of any length, traced to messages."""
+    f = table(spark, d, "documents").where("text is not null").select(F.lit("r").alias("rule_id"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.left("text", F.lit(60)).alias("snippet"), F.lit("").alias("title"))
+    return sessions.trace_findings(f, table(spark, d, "conversations")).select("line", "conv_id", "turn")
+
+
 @query("behavior_stream", f"WITH {_ACTS}, r AS (SELECT user_id, count(*) AS events, sum(risk)::BIGINT AS risk_score FROM a GROUP BY user_id) SELECT *, {_LEVEL} AS risk_level FROM r")
 def behavior_stream(spark, d):
     """Session totals as the streaming operator gives them, over the events table as one micro-batch."""

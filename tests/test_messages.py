@@ -84,3 +84,24 @@ def test_protected_lines(spark):
     for size in (1_000_000, 20):
         assert sorted((r["doc_id"], r["item_id"]) for r in protected_lines(docs, "doc_id", "text", items, size).collect()) == want
     assert protected_lines(docs, "doc_id", "text", items.where("false")).count() == 0
+
+
+def test_findings_are_traced_by_all_documents(spark, small):
+    from sparrowhawk import registry
+
+    got = sorted((r["line"], r["conv_id"], r["turn"]) for r in registry.QUERIES["trace_prompts_all"](spark, small).collect())
+    docs = [(r["doc_id"], r["text"][:30]) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"]]
+    said = [(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{small}/conversations.parquet").collect() if r["text"]]
+    assert got == sorted({(d, c, t) for d, s in docs for c, t, text in said if s in text})
+
+
+def test_findings_are_traced_by_snippet_and_title(spark):
+    from sparrowhawk.operators import sessions
+
+    findings = [(f"r{i}", "f", i, s, t) for i, (s, t) in enumerate([("abc", ""), ("x" * 40, ""), ("", "Token Assigned in text"), ("bc", "no"), (None, None), ("zz", "Token leaks")])]
+    said = [(1, 0, "an abcd"), (1, 1, "x" * 30), (2, 0, "ASSIGNED a token"), (2, 1, None), (3, 0, "")]
+    f = spark.createDataFrame(findings, "rule_id string, file string, line int, snippet string, title string")
+    m = spark.createDataFrame(said, "conv_id long, turn int, text string")
+    for size in (1_000_000, 5):
+        got = sorted((r["rule_id"], r["conv_id"], r["turn"]) for r in sessions.trace_findings(f, m, size).collect())
+        assert got == [("r0", 1, 0), ("r1", 1, 1), ("r2", 2, 0), ("r3", 1, 0)]
