@@ -152,6 +152,22 @@ def inj_homoglyph(spark, d):
     return doc_lines(spark, d).where(t.rlike("[013457@$|]")).select("file", "line", prompts.unmasked(t).alias("plain"), prompts.inj_homoglyph(t).alias("hit"))
 
 
+@query("inj_rot13_all", f"WITH {LINES_SQL} SELECT file, line, length(text) <= 2000 AND {sql_matches(f'translate(text, {chr(39)}{prompts.A}{chr(39)}, {chr(39)}{prompts.N}{chr(39)})', prompts.PHRASE)} AS hit FROM lines")
+def inj_rot13_all(spark, d):
+    """The ROT13 detector over every line."""
+    return doc_lines(spark, d).select("file", "line", prompts.inj_rot13(F.col("text")).alias("hit"))
+
+
+@query(
+    "inj_homoglyph_all",
+    f"""WITH {LINES_SQL}, u AS (SELECT file, line, text, translate(lower(regexp_replace(regexp_replace(text, '[{prompts.NO_WIDTH}]', ' ', 'g'), '\\s+', ' ', 'g')), '{prompts.LOOK_ALIKES}', '{prompts.LETTERS}') AS plain FROM lines)
+SELECT file, line, length(text) <= 1000 AND regexp_matches(text, '[{prompts.NO_WIDTH}013457@$|]') AND {sql_matches('plain', prompts.PHRASE)} AS hit FROM u""",
+)
+def inj_homoglyph_all(spark, d):
+    """The look-alike detector over every line."""
+    return doc_lines(spark, d).select("file", "line", prompts.inj_homoglyph(F.col("text")).alias("hit"))
+
+
 @query("inj_base64")
 def inj_base64(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", prompts.inj_base64(F.col("text")).alias("run")).where("run is not null")
