@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
+from importlib import resources
 
 #: Fields whose leak matters, and functions that take secrets out.
 SECRET_FIELD = r"password|passwd|pwd|passwordhash|password_hash|secret|token|apikey|api_key|access_token|refresh_token|private_key|session_secret"
@@ -95,3 +97,9 @@ CORE = [
     Rule("injection.xxe", "high", r"noent\s*:\s*true|resolveExternalEntities\s*:\s*true|expandEntities\s*:\s*true|XMLParser\([^)]*processEntities\s*:\s*true", "XML parser with external entities enabled", "medium", "CWE-94", True),
     Rule("injection.crlf", "medium", r"\bres\.(?:setHeader|writeHead|header)\s*\([^)]*\breq\.(?:body|query|params|headers)\b", "User input written to a response header", "low", "CWE-94"),
 ]
+
+
+def shipped_pack() -> list[Rule]:
+    """The 668 rules of the pack that the package ships beside CORE."""
+    text = resources.files(__package__).joinpath("pack.jsonl").read_text("utf-8")
+    return [Rule(**json.loads(x)) for x in text.split("\n") if x]

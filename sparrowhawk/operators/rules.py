@@ -125,6 +125,16 @@ class Compiled:
         return not self.literals or any(x in low for x in self.literals)
 
 
+#: Once in each worker: re itself keeps fewer patterns than a catalogue has.
+_ready: dict[Rule, Compiled] = {}
+
+
+def ready(rule: Rule) -> Compiled:
+    if rule not in _ready:
+        _ready[rule] = Compiled(rule)
+    return _ready[rule]
+
+
 def masked(line: str, match: str) -> str:
     out = line.replace(match, f"{match[:4]}****{match[-2:]}") if len(match) >= 8 else line
     return out if len(out) <= 160 else out[:157] + "..."
@@ -158,7 +168,7 @@ def match_rules(files: DataFrame, rules: Iterable[Rule] = CORE) -> DataFrame:
 
     @F.pandas_udf(HIT)
     def run(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        compiled = [Compiled(r) for r in chosen]
+        compiled = [ready(r) for r in chosen]
         return pd.Series([hits_of(p or "", c, compiled) if c else [] for p, c in zip(paths, contents)], dtype=object)
 
     rows = files.select("file", F.explode(run("file", "content")).alias("h")).select("file", "h.*")

@@ -323,11 +323,12 @@ def grouped_lists(spark, d):
 
 @query("line_rules")
 def line_rules(spark, d):
-    """The catalogue's line rules over documents and pages as files, in one Arrow pass."""
+    """All line rules, of the core and of the shipped pack, over documents and pages as files, in one Arrow pass."""
+    from ..operators.catalog import CORE, shipped_pack
     from ..operators.rules import match_rules
 
     pages = table(spark, d, "pages").select(F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("file"), F.col("html").alias("content"))
-    return match_rules(doc_files(spark, d).select("file", "content").unionByName(pages))
+    return match_rules(doc_files(spark, d).select("file", "content").unionByName(pages), [*CORE, *shipped_pack()])
 
 
 @query("apply_rules_pages", "WITH files AS (SELECT 'page/' || page_id || '.html' AS file, html AS content FROM pages)" + FINDINGS_SQL[FINDINGS_SQL.index(", lines AS") :] + f" SELECT {COLUMNS} FROM findings")

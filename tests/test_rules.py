@@ -141,3 +141,14 @@ def test_equal_files_are_analysed_once_and_all_reported(spark):
 
 def test_patterns_are_ascii():
     assert all(c.pattern.flags & re.A for c in COMPILED)
+
+
+def test_line_rules_runs_core_and_pack(spark, tmp_path):
+    from sparrowhawk import registry
+    from sparrowhawk.operators.catalog import shipped_pack
+
+    pack = shipped_pack()
+    assert len({r.id for r in pack}) == 668 and len(CORE) + len(pack) == 724 and all(R.ready(r) for r in pack)
+    spark.createDataFrame([(1, "export default clerkMiddleware()\nconst a = 1", "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r["rule_id"], r["line"]) for r in registry.QUERIES["line_rules"](spark, str(tmp_path)).collect()] == [("clerk.middleware-bypass", 1)]
