@@ -7,8 +7,8 @@ trained by stochastic gradient descent in numpy on a bounded sample of labelled
 fifth of the sample is kept out of training to fit the softmax's temperature and the score
 below which a prediction is rejected.
 
-The sample: up to ``per_language`` rows of each language, drawn by hash, none over
-``TRAIN_BYTES`` bytes. The model is applied to whole texts.
+The sample: up to ``per_language`` rows of each language that have a text, drawn by hash; of a
+text over ``TRAIN_BYTES`` bytes it has the first part. The model is applied to whole texts.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Rows are
 predicted one by one: repeated rows give repeated results. Without any labelled row every
@@ -165,8 +165,7 @@ def held_out(doc_id) -> "F.Column":
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of the documents with a language that aren't held out; reads a bounded sample of their texts."""
-    can = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    # Counts look at ids and languages only; the texts are read once, for the sample.
+    can = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = can.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return train([], [])
@@ -174,8 +173,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     chance = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     rows = (
         can.where(F.try_element_at(share, F.col("lang")) > chance)
-        .where(F.octet_length("text") <= TRAIN_BYTES)  # neither null nor too long
-        .select(F.xxhash64(F.lit(2), "doc_id").alias("h"), "text", "lang")
+        .select(F.xxhash64(F.lit(2), "doc_id").alias("h"), F.when(F.octet_length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.left("text", F.lit(TRAIN_BYTES // 4))).alias("text"), "lang")
         .limit(2 * per_language * LANGUAGES)
         .collect()
     )

@@ -53,3 +53,10 @@ def test_training_is_deterministic_and_cache_is_harmless():
     one = [a.predict(t) for t in texts]
     a.cache.clear()
     assert [a.predict(t) for t in reversed(texts)][::-1] == one
+
+
+def test_null_and_long_texts_do_not_thin_the_sample(spark):
+    rows = corpus(200) + [(1000 + i, None, "de") for i in range(20_000)] + [(30_000 + i, "le la les " * 12_000, "fr") for i in range(8)]
+    model = L.fit(documents(spark, rows, extra=False), per_language=40)
+    assert sorted(model.languages) == ["de", "en", "fr"]
+    assert model.predict("le la les")[0] == "fr"
