@@ -1,7 +1,9 @@
-"""What the operators share: the cluster's shared folder, written tables, 64-bit mixing."""
+"""What the operators share: the cluster's shared folder, written tables, Arrow slices, 64-bit mixing."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -9,14 +11,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of an Arrow slice that is turned into Python objects at once (a single row may be larger).
+SLICE_BYTES = 8 << 20
+
+_area: contextvars.ContextVar[str | None] = contextvars.ContextVar("working area", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
     It is the session's spark.checkpoint.dir (or the checkpoint folder that was set on the
-    context). Only where neither is set, as in tests on one machine, a temporary folder is
-    made and set.
+    context). Where neither is set, a temporary folder is made on a master in one process
+    (``local[...]``); any other master raises, as executors would write to disks of their own.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
@@ -24,38 +30,70 @@ def shared_root(spark: SparkSession) -> str:
         was = sc._jsc.sc().getCheckpointDir()
         root = was.get() if was.isDefined() else None
     if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sparrowhawk-')}"
         sc.setCheckpointDir(root)
     return root.rstrip("/") if "://" in root or root.startswith("file:") else f"file://{root.rstrip('/')}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/sparrowhawk/{name}-{uuid.uuid4().hex}"
+    """A new folder's URI below the working area, or else the shared folder; nothing is created yet."""
+    return f"{_area.get() or shared_root(spark) + '/sparrowhawk'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def working_area(spark: SparkSession, name: str):
+    """Within it, tables are written below one new folder, which is deleted at the end: write results elsewhere before."""
+    path = shared_path(spark, name)
+    mark = _area.set(path)
+    try:
+        yield path
+    finally:
+        _area.reset(mark)
+        delete(spark, path)
+
 
+def delete(spark: SparkSession, uri: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again.
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder (or path) and read again.
 
     This cuts the lineage: later steps read files that survive a lost executor. The folder
-    may be deleted once the final result has been written.
+    may be deleted once nothing that reads it is still to run: ``discard`` does so for tables
+    that later written tables have replaced, ``working_area`` for all of a step's.
     """
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._written_at)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Lowers this session's limit on the bytes of an Arrow batch, so that long texts don't add up in a Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key)).lower()
-    number = int("".join(c for c in now if c.isdigit()) or 0) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
-    if number > size or number <= 0:
-        spark.conf.set(key, str(size))
+def slices(batches, size: int = SLICE_BYTES):
+    """Arrow batches cut into slices of at most size bytes or one row, so that few Python objects exist at once."""
+    for batch in batches:
+        stack = [batch]
+        while stack:
+            part = stack.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                stack += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def open_store(uri: str):

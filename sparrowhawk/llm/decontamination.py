@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 Q, WINDOW, SHORT, STRIDE, BUDGET, MIN_ITEM = 8, 80, 48, 8, 0.1, 24
 BLOCK_CHARS = 1_000_000
@@ -243,7 +243,7 @@ def _scan(matcher):
     def run(batches):
         m = matcher.value
         docs, texts, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = normalised(text)
                 if len(text) < Q:
@@ -267,7 +267,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     matched), start and end (of the matched regions, in the normalised text).
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_chars))

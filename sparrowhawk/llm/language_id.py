@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
@@ -195,7 +195,6 @@ def predictor(model: Model):
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted of every document."""
-    bounded_batches(docs.sparkSession)
     model = model or fit(docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predictor(model)(F.col("text").cast("string")).alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.accepted")
@@ -203,6 +202,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs without the documents whose language is rejected; all columns stay."""
-    bounded_batches(docs.sparkSession)
     model = model or fit(docs)
     return docs.where(predictor(model)(F.col("text").cast("string"))["accepted"])

@@ -4,20 +4,22 @@ A text is the weighted set of its word shingles (WORDS words; the weight is how
 occurs). Weighted sets are compared by weighted Jaccard similarity, and two different texts
 are linked at THRESHOLD or more. Groups are the connected components of the links.
 
-Signatures: every element throws hashed darts at its region, a strip as wide as its weight
-along the axis of ranks; darts come at unit rate by area, so a text's darts up to a rank
-theta are about ``theta * weight`` in number. A dart has a rank and one of K coordinates, and
-each coordinate keeps its earliest dart. Theta starts at K ln K + 2 K darts and grows until
-every coordinate has one. Two texts agree in a coordinate with the probability of their
-similarity. A signature takes time in proportion to the text's length plus K ln K, not to
-their product.
+Signatures: every element has a region, as wide as its weight and as high as the ranks go,
+that hashed darts fall on at unit rate by area; so a text's darts up to a rank theta are about
+``theta * weight`` in number. The region is made of strips of width one; of the last, where a
+weight isn't whole, only that part counts, and darts beyond it are dropped (``strips``). A dart
+has a rank and one of K coordinates, and each coordinate keeps its earliest dart. Theta starts
+at K ln K + 2 K darts and grows until every coordinate has one. Two texts agree in a coordinate
+with the probability of their similarity. A signature takes time in proportion to the text's
+length plus K ln K, not to their product.
 
 Steps:
 
 1. Map tasks make signatures, once for equal texts (equal words) within a task; equal texts
-   are combined by digest and stand for one class from here on.
+   are combined by digest and stand for one class, with a number of its own, from here on.
 2. Bands of ROWS coordinates give bucket keys. Every bucket links its members to a leader,
    the member that meets most others over all bands; so a group of n costs n pairs, not n².
+   Pairs whose sizes alone rule the threshold out are dropped before any elements travel.
 3. Pairs are verified exactly on their elements. Components of the verified links follow by
    alternating large-star and small-star steps.
 4. In buckets that still hold several components, the pairs not yet compared are looked at,
@@ -29,10 +31,13 @@ A pair at similarity s shares no bucket with probability (1 - s**ROWS)**BANDS, 1
 
 Cases: null texts, and texts without a word, have no elements and are each a group of their
 own. A text shorter than a shingle is one element. Texts whose words are equal in order (case
-and punctuation don't count) have the same elements and are always one group. Rows that
-repeat a doc_id with the same text are one document. Documents with a null doc_id are each
-their own group (class null). Empty tables give empty results; other columns, whatever their
-names, are not looked at.
+and punctuation don't count) have the same elements and are always one group. A row is told by
+doc_id and text: rows that repeat both are one document, rows that repeat a doc_id with other
+text are documents of their own, each linked by its own text. group_id is the least doc_id of a
+group (null ids last), so two groups can bear one number only where a doc_id repeats with
+other text; group_key, the digest of the text that stays, tells those apart (null for a
+document without words). Empty tables give empty results; other columns, whatever their names,
+are not looked at.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import GOLDEN, bounded_batches, mix64, written
+from .common import GOLDEN, discard, mix64, shared_path, slices, working_area, written
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 32
@@ -81,6 +86,20 @@ def elements(words: list[str], n: int = WORDS) -> np.ndarray:
     return s
 
 
+def strips(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strips of width one of elements' regions, sorted, and how much of each counts: 1, or the rest of a weight that isn't whole.
+
+    For whole weights these are the unit elements that ``elements`` makes of repeated shingles.
+    """
+    many = np.ceil(weights).astype(np.int64)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    cover = np.minimum(1.0, np.repeat(weights, many) - nth)
+    s = np.repeat(elements, many)
+    s = np.where(nth > 0, mix64(s + nth.astype(np.uint64) * GOLDEN), s)
+    order = np.argsort(s, kind="stable")
+    return s[order], cover[order]
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -90,11 +109,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
-    """DartMinHash signatures (len(sets) x k, uint64) of sets of unit elements; rows of empty sets are 0.
+def signatures(sets: list[np.ndarray], k: int = K, covers: list[np.ndarray] | None = None) -> np.ndarray:
+    """DartMinHash signatures (len(sets) x k, uint64) of sets of strips; rows of empty sets are 0.
 
-    All sets are handled together: each element holds its next dart, and those whose rank is
-    below their set's theta are thrown and move on.
+    covers: how much of each strip counts (all, if not given). All sets are handled together:
+    each strip holds its next dart, and those whose rank is below their set's theta are thrown
+    and move on.
     """
     sizes = np.array([len(s) for s in sets])
     out = np.zeros((len(sets), k), np.uint64)
@@ -102,7 +122,9 @@ def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
         return out
     element = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    theta = (k * np.log(k) + 2 * k) / np.maximum(sizes, 1)
+    weight = sizes if covers is None else np.array([c.sum() for c in covers])
+    cover = None if covers is None else np.concatenate(covers)
+    theta = (k * np.log(k) + 2 * k) / np.where(sizes > 0, weight, 1)
     least = np.full(len(sets) * k, np.inf)
     state = mix64(element ^ GOLDEN)
     rank = -np.log(_unit(state))  # of the element's next dart: gaps of a unit-rate Poisson process
@@ -113,8 +135,9 @@ def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
             dart = mix64(state[active] + np.uint64(0xD1B54A32D192ED03))
             at = owner[active] * k + (dart % np.uint64(k)).astype(np.int64)
             r = rank[active]
-            np.minimum.at(least, at, r)
-            won = r == least[at]
+            inside = r if cover is None else np.where(_unit(mix64(dart ^ GOLDEN)) < cover[active], r, np.inf)
+            np.minimum.at(least, at, inside)
+            won = np.isfinite(inside) & (inside == least[at])
             flat[at[won]] = dart[won]
             state[active] = mix64(state[active] + GOLDEN)
             rank[active] = r - np.log(_unit(state[active]))
@@ -146,31 +169,35 @@ def _chunks(rows: list, most: int = 200_000):
         yield part
 
 
-SIGNED = "doc_id long, digest binary, bands array<long>"
+SIGNED = "doc_id long, text_hash long, digest binary, size int, bands array<long>"
+
+
+def digest_of(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def _sign(batches):
-    """bands are null for a digest that this task has met, and empty for texts without elements."""
+    """bands are null for a digest that this task has met; digest and bands are null for texts without elements."""
     met: OrderedDict[bytes, None] = OrderedDict()
-    for batch in batches:
-        docs, digests, fresh = batch.column(0).to_pylist(), [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            words = words_of(text)
-            digest = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
-            digests.append(digest if words else None)
-            if words and docs[i] is not None and digest not in met:
+    for batch in slices(batches):
+        n = batch.num_rows
+        digests, sizes, bands, fresh = [None] * n, [0] * n, [None] * n, []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            if not (words := words_of(text)):
+                continue
+            digest = digests[i] = digest_of(words)
+            sizes[i] = max(1, len(words) - WORDS + 1)
+            if digest not in met:
                 met[digest] = None
                 fresh.append((i, elements(words)))
                 if len(met) > 200_000:
                     met.popitem(last=False)
-        bands: list = [None] * len(docs)
         for part in _chunks(fresh):
             keys = bands_of(signatures([e for _, e in part]))
             for (i, _), row in zip(part, keys):
                 bands[i] = row
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"]
-        )
+        made = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_hash", "digest", "size", "bands"])
 
 
 #: Bits of the filter of ids that lets a task skip texts in no bucket: its size doesn't depend on the input.
@@ -182,8 +209,8 @@ def _filter_slot(column: str):
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS hashed ids, as bytes. A full one lets all pass, and a join decides."""
-    slot = _filter_slot("id")
+    """A bitmap of FILTER_BITS hashed doc_ids, as bytes. A full one lets all pass, and a join decides."""
+    slot = _filter_slot("doc_id")
     words = ids.select((slot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b"))
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
@@ -191,20 +218,21 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
-def elements_of(read: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, elements of the documents (doc_id, text) whose ids are in ids."""
-    bitmap = read.sparkSession.sparkContext.broadcast(id_filter(ids))
+def elements_of(read: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, elements of the classes wanted (id, digest, doc_id of a row that has the text)."""
+    bitmap = read.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def run(batches):
-        for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
+        for batch in slices(batches):
+            slot = batch.column(1).to_numpy(zero_copy_only=False)
             found = batch.filter(pa.array((bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             if found.num_rows:
-                sets = [elements(words_of(t)).tobytes() for t in found.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([found.column(0), pa.array(sets, pa.binary())], names=["id", "elements"])
+                words = [w for t in found.column(0).to_pylist() if (w := words_of(t))]
+                made = [pa.array([digest_of(w) for w in words], pa.binary()), pa.array([elements(w).tobytes() for w in words], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["digest", "elements"])
 
-    maybe = read.where("doc_id is not null").select("doc_id", "text", _filter_slot("doc_id").alias("slot")).mapInArrow(run, "id long, elements binary")
-    return maybe.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    maybe = read.select("text", _filter_slot("doc_id").alias("slot")).mapInArrow(run, "digest binary, elements binary")
+    return maybe.join(wanted.select("id", "digest"), "digest").select("id", "elements").dropDuplicates(["id"])
 
 
 # -- links --------------------------------------------------------------------------------------
@@ -215,7 +243,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
 
     def check(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ea, eb = batch.column(2), batch.column(3)
             last, set_a, ok = None, None, []
             for x, y in zip(ea, eb):
@@ -231,11 +259,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root) of every id of the edges (a, b); root is the component's least id.
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, root) of every id of the edges (a, b) but roots themselves; root is the component's least id.
 
-    Alternating large-star and small-star steps; each round is a written table, and ends when
-    no edge changes. Aggregates combine on the map side, so that a hub is no burden.
+    Alternating large-star and small-star steps, until no edge changes; each round is a written
+    table that replaces the one before. Rounds grow with the logarithm of a component's length;
+    more than given raise, as what there is then would not be the components. Aggregates combine
+    on the map side, so that a hub is no burden.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -247,39 +277,63 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
-            break
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         mark = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, group_id (the least doc_id of its group), kept (it is that one)."""
+    """One row per document: doc_id, group_id (the least doc_id of its group), kept (it is the one that stays), group_key."""
+    return _grouped(docs, threshold).select("doc_id", "group_id", "kept", F.lower(F.hex("stays")).alias("group_key"))
+
+
+def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_hash, group_id, kept, stays (digest of the group's text that stays) of every row."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     signed = written(read.mapInArrow(_sign, SIGNED), "signed")
-    classes = written(
-        signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("bands").alias("bands")),
-        "classes",
-    )
-
+    # The row that stands for a class: least doc_id, null last. Numbers are made once, as the table is written.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    grouped = signed.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.max("size").alias("size"), F.max("bands").alias("bands"))
+    classes = written(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    at = shared_path(spark, "roots")
+    with working_area(spark, "near-links"):
+        roots = written(_roots(read, classes, threshold), "roots", at)
+
+    placed = classes.join(roots, "id", "left").select("digest", "first", F.coalesce("root", "id").alias("root"))
+    best = placed.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("best"))
+    groups = placed.join(best, "root").select("digest", F.col("best.first").alias("keep"), F.col("best.digest").alias("stays"))
+    rows = signed.select("doc_id", "text_hash", "digest").join(groups, "digest", "left")
+    alone = F.col("digest").isNull()
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash")))
+    return rows.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("group_id"), kept.alias("kept"), "stays")
+
+
+def _roots(read: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """id, root of the classes that have links to others of lesser number."""
     # Buckets of two classes or more; the leader is the member that meets most others over all bands.
     # Counts and leaders are tables, so that a join's both sides come straight from an exchange and AQE can split a hot bucket.
-    entries = classes.select("id", F.explode("bands").alias("key"))
+    entries = classes.select("id", "size", F.explode("bands").alias("key"))
     counts = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     shared = written(entries.join(counts, "key"), "shared")
+    discard(counts)
     weight = written(shared.groupBy("id").agg(F.sum("n").alias("w")), "weight")
-    ranked = shared.join(weight, "id").select("key", "id", "w")
-    leaders = written(ranked.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("leader")), "leaders")
-    members = written(shared.join(leaders, "key").select("key", "id", "n", "leader"), "members")
+    ranked = shared.join(weight, "id").select("key", "id", "size", "w")
+    lead = F.max_by(F.struct("id", "size"), F.struct("w", -F.col("id")))
+    leaders = written(ranked.groupBy("key").agg(lead.alias("lead")).select("key", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size")), "leaders")
+    members = written(shared.join(leaders, "key").select("key", "id", "n", "size", "leader", "leader_size"), "members")
+    discard(shared, weight, leaders)
 
     ids = members.select("id").distinct()
-    sets = written(elements_of(read, ids), "elements")
+    sets = written(elements_of(read, classes.select("id", "digest", F.col("first.doc_id").alias("doc_id")).join(ids, "id", "left_semi")), "elements")
 
-    pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    near = F.least("size", "leader_size") >= threshold * F.greatest("size", "leader_size") - 1e-9
+    pairs = members.where((F.col("id") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(pairs, sets, threshold), "links")
     roots = components(links)
     open_ = _open_buckets(members, roots, sets, threshold)
@@ -287,11 +341,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = written(verified(_remaining(open_, threshold), sets, threshold), "links")
         if not more.isEmpty():
             roots = components(links.unionAll(more))
-
-    class_root = classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("group_id"))
-    rows = signed.select("doc_id", "digest").join(class_root, "digest", "left")
-    group = F.coalesce("group_id", "doc_id")
-    return rows.select("doc_id", group.alias("group_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
+    return roots
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
@@ -341,14 +391,14 @@ PARTS = 64
 
 
 def _part_sizes(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
         parts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for x in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(parts, pa.list_(pa.int32()))], names=["id", "size", "parts"])
 
 
 def _explode(batches):
-    for batch in batches:
+    for batch in slices(batches):
         ids, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i in range(0, len(ids), 256):
             parts = [np.frombuffer(s, np.int64) for s in sets[i : i + 256]]
@@ -357,6 +407,7 @@ def _explode(batches):
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group; all columns stay."""
-    gone = near_groups(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """docs with one document of each group; all columns stay. Rows go by doc_id and text, so that another row of the doc_id stays."""
+    gone = _grouped(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_batches, written
+from .common import slices, written
 
 SEQUENCE, END_ID = 4096, 1
 
@@ -105,7 +105,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 def _pieces(path: str, sequence: int):
     def run(batches):
         encoder, part, seen = encoder_of(path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = memoryview(encoder.encode(text or "") + encoder.packed([END_ID]))
@@ -251,7 +251,7 @@ def lookup_table(plan: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
 def _placed(table):
     def run(batches):
         rows = table.value
-        for batch in batches:
+        for batch in slices(batches):
             length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
             rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
@@ -271,7 +271,6 @@ def _placed(table):
 def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(read.mapInArrow(_pieces(tokenizer_path, sequence), PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))

@@ -41,7 +41,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 KINDS = ("email", "ipv4", "iban", "card", "ssn", "date", "phone", "number")
 #: Only for tests and queries on invented data; give your own.
@@ -258,7 +258,7 @@ RESULT = "doc_id long, n_values long, spans string, text string"
 def _run(key: bytes):
     def run(batches):
         names = Pseudonyms(key)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 new, spans = pseudonymise(text, names)
@@ -271,5 +271,4 @@ def _run(key: bytes):
 
 def mask(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """One row per document: doc_id, n_values, spans (kind:start:end in the original), text with pseudonyms."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(key), RESULT)

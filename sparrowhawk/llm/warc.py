@@ -33,7 +33,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, open_store, shared_path, shuffle_partitions, written
+from .common import slices, open_store, shared_path, shuffle_partitions, written
 
 MIN_REVISIT, BLOCK, LEVEL = 100, 256, 3
 DATE = "1970-01-01T00:00:00Z"
@@ -132,7 +132,7 @@ def _writer(folder: str, block: int):
             index_at += len(packed)
             lines.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for page, url, html, key, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if fs is None:
                     fs, path = open_store(base)
@@ -162,7 +162,6 @@ def _writer(folder: str, block: int):
 def write_archives(pages: DataFrame, folder: str | None = None, block: int = BLOCK) -> DataFrame:
     """Writes the archives and their index below folder (else the shared one); returns the manifest."""
     spark = pages.sparkSession
-    bounded_batches(spark)
     folder = folder or shared_path(spark, "warc")
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -196,7 +195,7 @@ RESULT = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 
 def _reader(batches):
-    for batch in batches:
+    for batch in slices(batches):
         for path in batch.column(0).to_pylist():
             fs, at, entries = _blocks(path)
             with fs.open_input_file(f"{at}.cdx.gz") as index, fs.open_input_file(f"{at}.warc.gz") as archive:

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 
 from sparrowhawk.llm import exact_dedup as X
 
-from .helpers import EDGE, documents
+from .helpers import EDGE, documents, sentence
 
 
 def brute(rows):
@@ -39,6 +39,30 @@ def test_empty_table_and_columns_stay(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in brute(EDGE) if r[3]}
 
 
+def test_drop_goes_by_row(spark):
+    """An id with two texts loses the one that is a copy, in any order of rows."""
+    rows = [(5, "other"), (7, "unique"), (7, "other"), (None, "other"), (None, "alone"), (9, None), (9, " "), (2, "")]
+    want = sorted([(5, "other"), (7, "unique"), (None, "alone"), (9, " "), (9, None)], key=str)
+    for given_rows in (rows, rows[::-1]):
+        assert sorted(((r["doc_id"], r["text"]) for r in X.drop_copies(documents(spark, given_rows)).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("options", [{"owner_bits": 12}, {"owner_bits": 1, "key_bits": 3, "capacity": 2}])
+def test_stored_index_answers_for_later_documents(spark, tmp_path, options):
+    rows = EDGE + [(100 + i, f"text {i % 30}" + " " * (i % 3)) for i in range(120)]
+    groups = X.build_index(documents(spark, rows), f"file://{tmp_path}/index", **options)
+    later = [(1000, "text 3"), (1001, "t e x t 3"), (1002, "not there"), (1003, None), (None, sentence(40)), (1004, "x" * 49_999)]
+    got = X.find_copies(documents(spark, later), groups, options["owner_bits"], options.get("key_bits", 64)).collect()
+    have = {h: (k, n) for _, k, n, _, h in brute(rows)}
+    norm = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *have[norm(t)]) for i, t in later if norm(t) in have), key=str)
+
+
+def test_owners_follow_the_rows(spark):
+    assert X.owner_bits_for(spark.range(10)) == X.OWNER_BITS
+    assert X.owner_bits_for(spark.range(X.OWNER_TEXTS << 13)) == 14
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.binary(max_size=6), max_size=80), st.integers(1, 6), st.integers(4, 64))
 def test_index_splits_chains_and_compares_bytes(tmp_path_factory, texts, capacity, bits):
@@ -48,7 +72,7 @@ def test_index_splits_chains_and_compares_bytes(tmp_path_factory, texts, capacit
         digest = hashlib.sha256(t).digest()
         key = int.from_bytes(digest[:8], "big") >> (64 - bits) << (64 - bits)
         index.put(key, digest, t, (len(t), n), 1)
-    found = {e["digest"]: (e["n"], e["best"][1]) for *_, e in index.buckets()}
+    found = {e["digest"]: (e["n"], e["best"][1]) for _, e in index.entries()}
     assert found == {hashlib.sha256(t).digest(): (texts.count(t), texts.index(t)) for t in texts}
     assert len(index.directory) == 1 << index.depth
     for slot, bucket in enumerate(index.directory):

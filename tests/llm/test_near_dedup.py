@@ -8,7 +8,7 @@ from .helpers import EDGE, documents, sentence
 
 
 def brute(rows, threshold=0.8):
-    """Least id of each component of pairs of at least the threshold."""
+    """Least id of each component of pairs of at least the threshold; ids are unique."""
     sets = {i: N.elements(N.words_of(t)) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -52,6 +52,71 @@ def test_no_rows_and_columns_stay(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 7, 7, 9, 10]
 
 
+def test_a_repeated_id_with_other_text_loses_no_link(spark):
+    a, b, c = sentence(60), " ".join(f"q{i}" for i in range(60)), " ".join(f"r{i}" for i in range(60))
+    rows = [(1, b), (7, a), (7, b + " tail"), (9, a + " tail"), (None, a + " more"), (None, None), (8, c), (7, c + " end"), (7, a)]
+    want = {(1, b): (1, True), (7, b + " tail"): (1, False), (7, a): (7, True), (9, a + " tail"): (7, False), (None, a + " more"): (7, False), (None, None): (None, True), (7, c + " end"): (7, True), (8, c): (7, False)}
+    for given in (rows, rows[::-1]):
+        docs = documents(spark, given)
+        got = N._grouped(docs, 0.8).join(docs.selectExpr("xxhash64(text) AS text_hash", "text").distinct(), "text_hash").collect()
+        assert {(r["doc_id"], r["text"]): (r["group_id"], r["kept"]) for r in got} == want
+        assert len({r["stays"] for r in got if r["group_id"] == 7}) == 2  # two groups with one number have keys of their own
+        kept = sorted(((r["doc_id"], r["text"]) for r in N.drop_near_copies(docs).collect()), key=str)
+        assert kept == sorted([k for k, v in want.items() if v[1]] + [(7, a)], key=str)
+
+
+def test_components_that_do_not_settle_raise(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        N.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), rounds=1)
+
+
+def test_strips_are_unit_elements_and_fractions_count():
+    rng = np.random.default_rng(2)
+    words = [f"w{i % 7}" for i in range(90)]
+    shingles, counts = np.unique(N.elements(words[:9]), return_counts=True)
+    assert (N.strips(shingles, counts.astype(float))[0] == N.elements(words[:9])).all()
+    ids = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    w, v = rng.uniform(0.1, 3.5, 400), rng.uniform(0.1, 3.5, 400)
+    (a, ca), (b, cb) = N.strips(ids, w), N.strips(ids, v)
+    s = N.signatures([a, b], 4096, [ca, cb])
+    assert abs((s[0] == s[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
+
+
+def test_recall_on_the_given_table(spark):
+    """All pairs of sf0.01 at the threshold, by an index of elements, against the groups."""
+    import os
+    from collections import Counter, defaultdict
+
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        import pytest
+
+        pytest.skip("the given tables aren't here")
+    docs = spark.read.parquet(at)
+    sets = {r["doc_id"]: N.elements(N.words_of(r["text"])) for r in docs.collect()}
+    having = defaultdict(list)
+    for i, s in sets.items():
+        for x in s.tolist():
+            having[x].append(i)
+    common = Counter((a, b) for ids in having.values() if len(ids) > 1 for k, a in enumerate(ids) for b in ids[k + 1 :])
+    close = [p for p, n in common.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.8]
+    group = {r["doc_id"]: r["group_id"] for r in N.near_groups(docs).collect()}
+    assert len(close) > 50 and all(group[a] == group[b] for a, b in close)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in close:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert group == {i: find(i) for i in sets}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
