@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from sparrowhawk.llm import language_id as L
 
 from .helpers import EDGE, documents
@@ -55,6 +57,45 @@ def test_training_is_deterministic_and_cache_is_harmless():
     assert [a.predict(t) for t in reversed(texts)][::-1] == one
 
 
+FOREIGN = ["квартира находится рядом со станцией метро и парком", "qqq zzz", "xkcd vwzq jjkq zxqv", "hyvää huomenta kaikille ystäville täällä", "日本語のテスト文章はここにあります"]
+
+
+@pytest.mark.parametrize("languages", [1, 2, 4])
+def test_foreign_and_shuffled_texts_are_rejected(languages):
+    words = [EN, DE, "le la les des est une dans pour que qui pas sur avec sont par mais".split(), "el los las una por con para como más pero sus esta entre cuando".split()]
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice(words[k]) for _ in range(rng.randrange(5, 60))), f"l{k}") for i in range(160) for k in range(languages)]
+    model = L.train([t for t, _ in rows], [x for _, x in rows])
+    assert all(not model.predict(t)[2] for t in FOREIGN)
+    for t, y in rows:
+        assert model.predict(t)[::2] == (y, True)
+    mixed = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t, _ in rows if len(t.split()) >= 16]
+    assert sum(model.predict(t)[2] for t in mixed) <= len(mixed) // 20
+
+
+def test_given_texts_are_accepted_and_shuffled_ones_are_not(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = L.fit(docs)
+    rows = [r["text"] for r in docs.collect() if len((r["text"] or "").split()) >= 32]
+    rng = random.Random(4)
+    assert all(model.predict(t)[2] for t in rows)
+    mixed = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()[:400]) for t in rows]
+    assert sum(model.predict(t)[2] for t in mixed) <= len(mixed) // 50
+
+
+def test_more_languages_than_allowed_raise(spark):
+    docs = documents(spark, [(i, "some words", f"l{i}") for i in range(30)])
+    with pytest.raises(ValueError):
+        L.fit(docs, most_languages=10)
+    assert len(L.fit(docs).languages) == len([i for i in range(30) if zlib.crc32(str(i).encode()) % 5])
+
+
+def test_sample_is_bounded_and_does_not_depend_on_order(spark):
+    rows = corpus(300) + [(None, "der die das", "de")] * 500
+    a, b = (L.fit(documents(spark, r, extra=False).repartition(n), per_language=30) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert (a.logits == b.logits).all() and a.familiar == b.familiar
+
+
 def test_null_and_long_texts_do_not_thin_the_sample(spark):
     rows = corpus(200) + [(1000 + i, None, "de") for i in range(20_000)] + [(30_000 + i, "le la les " * 12_000, "fr") for i in range(8)]
     model = L.fit(documents(spark, rows, extra=False), per_language=40)
