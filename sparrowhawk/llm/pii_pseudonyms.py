@@ -15,12 +15,18 @@ iban      country, check digits by mod 97                             digits and
 card      13 to 19 digits, Luhn                                       all but the check digit,
                                                                       which is made anew
 ssn       3-2-4 digits, area not 000, 666, 9xx, no zero part          within the valid numbers
-date      a day of the calendar, 1900 to 2099; Y-M-D, D.M.Y, M/D/Y    the day's number;
-                                                                      days and months get two digits
-phone     10 to 15 digits after + or (, or as 3-3-4                   digits after the country's
+date      a day of the calendar, 1900 to 2099; Y-M-D, D.M.Y, M/D/Y    within the days whose day and
+                                                                      month have as many digits
+phone     10 to 15 digits after + or (, or as 3-3-4                   digits after the country's code;
+                                                                      valid numbers among themselves
 number    13 to 19 digits alone that are not a card                   all digits
 ========  ==========================================================  ==========================
 
+Formats stay byte for byte: separators, groups, and whether a day or month below ten has its zero;
+so ``back`` restores every text. Equal values are linked across spellings: cards and IBANs with
+and without groups, a date in any layout, a phone number with or without separators (3-3-4 and ten
+digits after a bracket are numbers of country 1). There is no key by default.
+
 Kinds are tried in this order; spans of an earlier kind are not looked at again. Where an IBAN or
 card in groups isn't valid, it is tried without its last groups, then from its later groups on.
 
@@ -36,6 +42,7 @@ import calendar
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,8 +51,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices
 
 KINDS = ("email", "ipv4", "iban", "card", "ssn", "date", "phone", "number")
-#: Only for tests and queries on invented data; give your own.
-DEMO_KEY = b"sparrowhawk demonstration key"
 ROUNDS = 8
 PATTERNS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![A-Za-z0-9-])"),
@@ -60,9 +65,31 @@ PATTERNS = {
 #: Kinds written in groups, whose pattern may take in groups that follow the value.
 GROUPED, BORDER = ("iban", "card"), re.compile(r"[ -]")
 HINT = re.compile(r"[0-9@]")
+#: The two-digit country codes; those of one digit are 1 and 7, all others have three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
+@lru_cache(1)
+def days_alike() -> dict[tuple[bool, bool], list[dt.date]]:
+    """The days of the calendar by whether month and day are below ten."""
+    out: dict[tuple[bool, bool], list[dt.date]] = {}
+    for i in range(DAYS):
+        day = dt.date.fromordinal(FIRST_DAY + i)
+        out.setdefault((day.month < 10, day.day < 10), []).append(day)
+    return out
+
+
+def country_code(digits: str) -> str:
+    """The country code that digits after a plus begin with."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
+def plausible(country: str, own: str) -> bool:
+    """Whether a country's number may exist: of country 1, area and exchange start with 2 to 9; of others, none starts with 0."""
+    return own[0] in "23456789" and own[3] in "23456789" if country == "1" and len(own) == 10 else own[0] != "0"
+
+
 class Feistel:
     """Keyed permutations of range(size), by tweak: a balanced network on bits, walked until within range."""
 
@@ -111,7 +138,9 @@ def mod97(text: str) -> int:
 class Pseudonyms:
     """The pseudonym of a match, by kind; None if the match isn't valid. back undoes it."""
 
-    def __init__(self, key: bytes = DEMO_KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.feistel, self.back = Feistel(key), back
         self.of = lru_cache(100_000)(self._of)
 
@@ -186,21 +215,25 @@ class Pseudonyms:
         part = {c: int(m[kind + i]) for i, c in enumerate(order)}
         if not (1900 <= part["y"] < 2100 and 1 <= part["m"] <= 12 and 1 <= part["d"] <= calendar.monthrange(part["y"], part["m"])[1]):
             return None
-        day = dt.date(part["y"], part["m"], part["d"]).toordinal() - FIRST_DAY
-        new = dt.date.fromordinal(FIRST_DAY + self.number(day, DAYS, "date"))
+        day = dt.date(part["y"], part["m"], part["d"])
+        alike = days_alike()[day.month < 10, day.day < 10]
+        new = alike[self.number(bisect_left(alike, day), len(alike), f"date|{day.month < 10}|{day.day < 10}")]
         sign = {1: "-", 4: ".", 7: "/"}[kind]
-        value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return sign.join(value[c] for c in order)
+        value = {"y": new.year, "m": new.month, "d": new.day}
+        return sign.join(f"{value[c]:0{len(m[kind + i])}d}" for i, c in enumerate(order))
 
     def _phone(self, text, m):
         digits = re.sub(r"\D", "", text)
         if not 10 <= len(digits) <= 15 or text.isdigit():
             return None
-        lead = re.match(r"\+([0-9]{1,3})(?=[ .(-])", text)
-        keep = len(lead[1]) if lead else 0
-        own = digits[keep:]
-        new = f"{self.number(int(own), 10 ** len(own), f'phone|{digits[:keep]}|{len(own)}'):0{len(own)}d}"
-        return self._laid(text, digits[:keep] + new)
+        country = country_code(digits) if text[0] == "+" else ""
+        own = digits[len(country) :]
+        named = country or ("1" if len(own) == 10 else "")
+        valid = plausible(named, own)
+        while True:  # walked on among the valid numbers, or among the others
+            own = f"{self.number(int(own), 10 ** len(own), f'phone|{named}|{len(own)}'):0{len(own)}d}"
+            if plausible(named, own) == valid:
+                return self._laid(text, country + own)
 
     def _number(self, text, m):
         while True:  # walked on while it would be a card
@@ -256,6 +289,8 @@ RESULT = "doc_id long, n_values long, spans string, text string"
 
 
 def _run(key: bytes):
+    Pseudonyms(key)  # raises here without a key
+
     def run(batches):
         names = Pseudonyms(key)
         for batch in slices(batches):
@@ -269,6 +304,6 @@ def _run(key: bytes):
     return run
 
 
-def mask(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def mask(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per document: doc_id, n_values, spans (kind:start:end in the original), text with pseudonyms."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(key), RESULT)

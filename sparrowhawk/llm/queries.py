@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The key of the query over invented tables; real ones are secrets that are given to mask.
+QUERY_KEY = b"for invented tables only"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +47,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii_pseudonyms import mask
 
-    return mask(_table(spark, sf_dir, "documents"))
+    return mask(_table(spark, sf_dir, "documents"), QUERY_KEY)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
