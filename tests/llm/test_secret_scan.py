@@ -28,16 +28,15 @@ def test_base_spans_equal_brute_force(spark):
     rows = EDGE + [(100 + i, c) for i, c in enumerate(CASES)] + [(300, "\n".join(CASES) * 20)]
     got = S.scan(documents(spark, rows))
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    want = sorted((i, *brute(t)[0], hashlib.sha256(brute(t)[1].encode()).hexdigest()) for i, t in rows if i is not None)
+    want = sorted(((i, *brute(t)[0], hashlib.sha256(brute(t)[1].encode()).hexdigest()) for i, t in rows), key=str)
     rows_got = got.collect()
-    assert sorted(tuple(r)[:5] for r in rows_got if r["doc_id"] is not None) == want
+    assert sorted((tuple(r)[:5] for r in rows_got), key=str) == want
     for r in rows_got:
-        if r["doc_id"] is not None:
-            text = next(t for i, t in rows if i == r["doc_id"])
-            base = [x for x in brute(text)[1].split(",") if x]
-            assert [x for x in r["spans"].split(",") if x and not x.startswith("literal")] == base
-            places = [int(x.split(":")[1]) for x in r["spans"].split(",") if x]
-            assert places == sorted(places)
+        text = next(t for i, t in rows if i == r["doc_id"])
+        base = [x for x in brute(text)[1].split(",") if x]
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("literal")] == base
+        places = [int(x.split(":")[1]) for x in r["spans"].split(",") if x]
+        assert places == sorted(places)
 
 
 def literals(text):
@@ -55,6 +54,47 @@ def test_method_adds_literals_by_name_and_flow():
         assert literals(clean) == []
 
 
+SECRET = "Zx8CvB7nQw3rTy9"
+
+
+def test_source_and_configuration_syntax():
+    for text in (
+        f"cfg['private_key'] = '{SECRET}'", f'private_key = f"{SECRET}"', f"private_key = b'{SECRET}'", f'private_key = rb"{SECRET}"', f'private_key = """{SECRET}"""', f"private_key = '''{SECRET}'''",
+        f"connect(host='h', db_auth='{SECRET}')", f"private_key = later\nx = 1\nlater = '{SECRET}'", f"a = b\nb = c\nc = '{SECRET}'\nsigning_key = a", f"private_key: str = '{SECRET}'", f"const privateKey: string = `{SECRET}`",
+        f"private_key = (\n  '{SECRET}'\n)", f"private-key: {SECRET}", f"- private_key: {SECRET}", f"private_key = first = '{SECRET}'", f"obj.privateKey = '{SECRET}';", f"x = {{'a': 1, 'private_key': '{SECRET}'}}",
+    ):
+        assert literals(text) == [SECRET], text
+    assert literals(f"private_key = '{SECRET[:7]}' '{SECRET[7:]}'") == [SECRET[:7], SECRET[7:]]
+    assert literals(f"private_key = ('{SECRET[:7]}' +\n  '{SECRET[7:]}')") == [SECRET[:7], SECRET[7:]]
+    assert literals(f"private_key: |\n  -----BEGIN KEY-----\n  {SECRET}\n  {SECRET[::-1]}\nnext: 1") == ["-----BEGIN KEY-----", SECRET, SECRET[::-1]]
+    for clean in (
+        f"# private_key = '{SECRET}'", f"x = 1  // private_key = '{SECRET}'", f"/* private_key = '{SECRET}' */ y = 2", f"<!-- private_key: '{SECRET}' -->", f"private_key = load('{SECRET}')", f"private_key != '{SECRET}'",
+        f"private_key = cfg['{SECRET}']", "private_key = name", f"it's the private_key of {SECRET}", "private_key = f'{signing}'", f"if private_key === '{SECRET}'", "private_key: |\nnext: 1",
+    ):
+        assert literals(clean) == [], clean
+
+
+def test_the_last_assignment_before_counts():
+    text = f"base = '{SECRET}'\nprivate_key = base\nbase = 'hello'\naccess_key = base"
+    assert [text[s:e] for s, e in S.literal_spans(text)] == [SECRET]
+
+
+def test_constants_are_bounded():
+    import time
+    import tracemalloc
+
+    text = f"a = '{SECRET}'\n" + "a=a+a\n" * 1000 + f"private_key = a\naccess_key = a + '{SECRET[::-1]}'\n"
+    tracemalloc.start()
+    t = time.time()
+    assert literals(text) == [SECRET[::-1]]
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20 and time.time() - t < 2
+    tracemalloc.stop()
+    for text in ("/* `<!-- ''' " * 20_000 + "key = x", "key = x + (" * 20_000, "a.b-c" * 50_000 + " = auth", "'" * 60_000 + "token: x", "key: |\n " * 20_000, "x1 = x2\nkey = x1\n" * 20_000):
+        t = time.time()
+        S.scan_text(text)
+        assert time.time() - t < 5, text[:20]
+
+
 def test_long_words_take_linear_time():
     import time
 
