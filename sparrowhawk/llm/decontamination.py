@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Benchmark items are cut into windows of WINDOW characters that overlap by half, and of SHORT
-characters, one each STRIDE; the last of each size is at the item's end. A window is leaked in a text if a region of the text is
-within its edit budget, BUDGET of its characters. So a passage of SHORT + STRIDE - 1 = 55
+characters, one each STRIDE; the last of each size is at the item's end. Items of fewer than
+WINDOW characters are one window of their own beside those. A window is leaked in a text if a
+region of the text is within its edit budget, BUDGET of its characters, whatever its size. So a passage of SHORT + STRIDE - 1 = 55
 characters or more, from anywhere in an item, holds a whole window. A leaked region shares at
 least ``w - q + 1 - k q`` of the window's w - q + 1 q-grams (k: the edits), and these lie
 within k diagonals (text position less window position). So:
@@ -18,13 +19,17 @@ within k diagonals (text position less window position). So:
 Characters: lower case, runs of white space are one space. The q-grams are hashed from one
 byte for each character, alignment compares whole code points.
 
-The benchmark is collected, in blocks of at most BLOCK_CHARS characters (each block is a scan
-of the documents); it is a stated query set, whose size is looked at first.
+Items of fewer than MIN_ITEM characters, which few edits would turn into something else, are
+looked for as they are, as whole words, by an automaton in the same scan.
 
-Cases: null texts and items, and items of fewer than MIN_ITEM characters, have no matches.
-Repeated items match alike; rows of documents that repeat a doc_id are one document. Null
-ids: a null item_id is not looked for; a document with a null doc_id is reported as null and
-stays in ``drop_leaked``. Empty tables give empty results; other columns, whatever their
+The benchmark is a stated query set, whose size is looked at first. It is collected and scanned
+for in blocks of about BLOCK_CHARS characters, one after the other: a block's matches are a
+written table, and its tables are released, before the next is collected.
+
+Cases: null texts and items, and empty ones, have no matches. Repeated items match alike. A row
+is told by doc_id and text: rows that repeat both are one document, rows that repeat a doc_id
+with other text are documents of their own, also in ``drop_leaked``; a null doc_id is one like
+any other. A null item_id is not looked for. Empty tables give empty results; other columns, whatever their
 names, are not looked at. Texts of any length are scanned whole.
 """
 
@@ -36,9 +41,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import slices, written
 
-Q, WINDOW, SHORT, STRIDE, BUDGET, MIN_ITEM = 8, 80, 48, 8, 0.1, 24
+#: With q = 7 every window of MIN_ITEM characters or more shares a q-gram with a region within its budget.
+Q, WINDOW, SHORT, STRIDE, BUDGET, MIN_ITEM = 7, 80, 48, 8, 0.1, 24
+#: q-grams are read as 64-bit words and cut to q bytes.
+WIDTH, CUT = 8, np.uint64((1 << 8 * Q) - 1)
 BLOCK_CHARS = 1_000_000
 #: Slots for each q-gram in the table that rules out most others at once; characters scanned together.
 SLOTS, SCAN_CHARS = 64, 1 << 21
@@ -59,13 +67,14 @@ def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
         return full, ((full ^ (full >> 8) ^ (full >> 16)) & 0xFF).astype(np.uint8)
 
 
-def qgrams(one: np.ndarray) -> np.ndarray:
-    """All q-grams of bytes as 64-bit words."""
-    n = len(one) - Q + 1
-    out = np.empty(max(0, n), np.uint64)
-    for s in range(min(Q, max(0, n))):
-        part = one[s : s + (len(one) - s) // 8 * 8].view("<u8")
-        out[s::8] = part[: len(out[s::8])]
+def qgrams(one: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, q-grams as 64-bit words) of all q-grams of bytes, in WIDTH parts."""
+    many = len(one) - Q + 1
+    padded = np.concatenate([one, np.zeros(WIDTH, np.uint8)])
+    out = []
+    for s in range(min(WIDTH, max(0, many))):
+        n = (many - s + WIDTH - 1) // WIDTH
+        out.append((np.arange(n) * WIDTH + s, padded[s : s + n * WIDTH].view("<u8") & CUT))
     return out
 
 
@@ -87,26 +96,31 @@ class Matcher:
     items: list[tuple[int, str]]
 
     def __post_init__(self):
+        #: Short items by text.
+        self.short: dict[str, list[int]] = {}
+        for item, text in sorted(set(self.items)):
+            if 0 < len(text) < MIN_ITEM:
+                self.short.setdefault(text, []).append(item)
         self.windows: list[tuple[int, int, int]] = []  # item's id, windows of the item, start in the item
         patterns, self.k, self.need = [], [], []
         grams, owner, place = [], [], []
-        every = sorted(set(self.items))
+        every = sorted(x for x in set(self.items) if len(x[1]) >= MIN_ITEM)
         #: By item and size of its windows: the size, the first window, how many (0: none), the step.
         self.families = np.tile(np.array([0, 0, 0, 1], np.int64), (len(every), 2, 1))
         self.least = np.zeros(len(every), np.int64)
         for number, (item, text) in enumerate(every):
             full, one = codes(text)
             full, first = full.astype(np.uint32), len(self.windows)
-            g = qgrams(one)
-            grams.append(g)
-            owner.append(np.full(len(g), number))
-            place.append(np.arange(len(g)))
+            for at, g in qgrams(one):
+                grams.append(g)
+                owner.append(np.full(len(g), number))
+                place.append(at)
             spans = cut(len(text))
             for i, (size, step) in enumerate(sizes(len(text))):
                 self.families[number, i] = size, len(self.windows), sum(e - s == size for s, e in spans), step
                 for s, e in spans:
                     if e - s == size:
-                        k = max(0, min(int(BUDGET * size), (size - Q - 1) // Q))
+                        k = int(BUDGET * size)
                         self.windows.append((item, len(spans), s))
                         patterns.append(full[s:e])
                         self.k.append(k)
@@ -132,15 +146,33 @@ class Matcher:
     def hits(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text positions and gram numbers of the q-grams that windows have."""
         found = []
-        for s in range(min(Q, max(0, len(one) - Q + 1))):
-            g = one[s : s + (len(one) - s) // 8 * 8].view("<u8")
+        for place, g in qgrams(one) if len(self.grams) else ():
             at = np.flatnonzero(self.table[(g * FACTOR) >> self.shift])
             n = np.searchsorted(self.grams, g[at])
             n[n == len(self.grams)] = 0
             same = self.grams[n] == g[at]
-            found.append((at[same] * 8 + s, n[same]))
+            found.append((place[at[same]], n[same]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
+    def exact(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, start, end) of the short items that stand in the text as whole words."""
+        if not self.short:
+            return []
+        if not hasattr(self, "automaton"):
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for short, ids in self.short.items():
+                self.automaton.add_word(short, (len(short), ids))
+            self.automaton.make_automaton()
+        inside = lambda i, j: 0 <= i and j < len(text) and text[i].isalnum() and text[j].isalnum()
+        found = []
+        for last, (n, ids) in self.automaton.iter(text):
+            s, e = last - n + 1, last + 1
+            if not inside(s - 1, s) and not inside(e - 1, e):
+                found += [(item, s, e) for item in ids]
+        return found
+
     def dense(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text positions, items and places in these of the q-grams in bands that could hold a window."""
         at, gram = self.hits(one)
@@ -219,38 +251,50 @@ class Matcher:
         return out
 
 
-RESULT = "doc_id long, item_id long, windows int, matched int, edits int, start long, end long"
+RESULT = "doc_id long, text_hash long, item_id long, windows int, matched int, edits int, start long, end long"
+
+
+#: Between texts that are scanned together: more characters than any window's edits, so that no region goes from one to the next.
+GAP = "\0" * (int(BUDGET * WINDOW) + 1)
+NAMES = ["doc_id", "text_hash", "item_id", "windows", "matched", "edits", "start", "end"]
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
 def _scan(matcher):
     def flush(m: Matcher, docs: list, texts: list[str]):
-        joined = codes("\0".join(texts))
-        bounds = np.cumsum([len(t) + 1 for t in texts])
+        joined = GAP.join(texts)
+        bounds = np.cumsum([len(t) + len(GAP) for t in texts])
         found: dict = {}
-        for w, e, s, t in m.find(joined):
-            i = int(np.searchsorted(bounds, max(s, 0), side="right"))
-            base = int(bounds[i]) - len(texts[i]) - 1
+
+        def place(s, e):
+            """The text that the region lies in, and s and e in it; a region may begin in the gap before its text."""
+            i = int(np.searchsorted(bounds, max((s + e) // 2, 0), side="right"))
+            base = int(bounds[i]) - len(texts[i]) - len(GAP)
+            return i, max(0, s - base), min(e - base, len(texts[i]))
+
+        for w, e, s, t in m.find(codes(joined)):
+            i, s, t = place(s, t)
             item, n, _ = m.windows[w]
-            found.setdefault((i, item, n), {}).setdefault(w, []).append((e, max(0, s - base), min(t - base, len(texts[i]))))
+            found.setdefault((i, item, n), {}).setdefault(w, []).append((e, s, t))
+        for item, s, t in m.exact(joined):
+            i, s, t = place(s, t)
+            found.setdefault((i, item, 1), {}).setdefault(-1, [(0, s, t)])
         rows = []
         for (i, item, n), hit in found.items():
             every = [x for v in hit.values() for x in v]
-            rows.append((docs[i], item, n, len(hit), sum(min(v)[0] for v in hit.values()), min(x[1] for x in every), max(x[2] for x in every)))
-        columns = list(zip(*rows)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "windows", "matched", "edits", "start", "end"])
+            rows.append((*docs[i], item, n, len(hit), sum(min(v)[0] for v in hit.values()), min(x[1] for x in every), max(x[2] for x in every)))
+        columns = list(zip(*rows)) or [()] * len(NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], names=NAMES)
 
     def run(batches):
         m = matcher.value
         docs, texts, size = [], [], 0
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = normalised(text)
-                if len(text) < Q:
-                    continue
-                docs.append(doc)
-                texts.append(text)
-                size += len(text)
+            for doc, hashed, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if text := normalised(text):
+                    docs.append((doc, hashed))
+                    texts.append(text)
+                    size += len(text)
                 if size >= SCAN_CHARS:
                     yield flush(m, docs, texts)
                     docs, texts, size = [], [], 0
@@ -261,26 +305,35 @@ def _scan(matcher):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each document and item of which a window is leaked in it.
+    """One row for each document (doc_id and text) and item of which a window is leaked in it.
 
     doc_id, item_id, windows (of the item), matched (of these), edits (least, summed over the
     matched), start and end (of the matched regions, in the normalised text).
     """
+    return _found(docs, benchmark, block_chars).drop("text_hash")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_chars))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        pairs = [(r["item_id"], t) for r in rows if len(t := normalised(r["text"])) >= MIN_ITEM]
-        found = read.mapInArrow(_scan(spark.sparkContext.broadcast(Matcher(pairs))), RESULT)
+        sent = spark.sparkContext.broadcast(Matcher([(r["item_id"], normalised(r["text"])) for r in rows]))
+        found = read.mapInArrow(_scan(sent), RESULT)
+        if blocks > 1:
+            found = written(found, "leaks")
+            sent.destroy()
         out = found if out is None else out.unionAll(found)
-    return out.dropDuplicates(["doc_id", "item_id"])
+    return out.dropDuplicates(["doc_id", "text_hash", "item_id"])
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that leak a window of the benchmark; all columns stay."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """docs without those that leak a window of the benchmark, told by doc_id and text; all columns stay."""
+    gone = _found(docs, benchmark).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")

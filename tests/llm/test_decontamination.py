@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sparrowhawk.llm import decontamination as D
@@ -9,13 +10,12 @@ from .helpers import EDGE, documents, sentence
 
 def distance(pattern, text):
     """Least edits of pattern against any part of text."""
-    row = [0] * (len(text) + 1)
+    t, place = np.array([ord(c) for c in text], np.int64), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, p in enumerate(pattern, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+        new = np.minimum(row + 1, np.r_[i, row[:-1] + (t != ord(p))])
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min())
 
 
 def brute(docs, items):
@@ -24,11 +24,15 @@ def brute(docs, items):
         t = D.normalised(text)
         for i, item in items:
             x = D.normalised(item)
-            if i is not None and len(x) >= D.MIN_ITEM:
-                for s, e in D.cut(len(x)):
-                    k = max(0, min(int(D.BUDGET * (e - s)), (e - s - D.Q - 1) // D.Q))
-                    if len(t) >= D.Q and distance(x[s:e], t) <= k:
-                        out.add((d, i))
+            if i is None or not x:
+                continue
+            if len(x) < D.MIN_ITEM:
+                places = [k for k in range(len(t)) if t.startswith(x, k)]
+                word = lambda k: 0 < k < len(t) and t[k - 1].isalnum() and t[k].isalnum()
+                if any(not word(k) and not word(k + len(x)) for k in places):
+                    out.add((d, i))
+            elif any(distance(x[s:e], t) <= (e - s) // 10 for s, e in D.cut(len(x))):
+                out.add((d, i))
     return out
 
 
@@ -50,7 +54,7 @@ def case():
     rng = random.Random(11)
     words = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, prose(rng.randrange(8, 40))) for i in range(12)] + [(50, None), (51, "short"), (None, prose(30)), (52, "日本語のテスト文章はここにあります、とても長い文章です。もう一度、とても長い文章です。")]
+    items = [(i, prose(rng.randrange(8, 40))) for i in range(12)] + [(50, None), (51, "short"), (53, "Which Hat?"), (54, "which hat?"), (55, ""), (56, prose(60)[:24]), (57, prose(60)[:30]), (58, prose(60)[:31]), (59, prose(60)[:40]), (60, prose(60)[:47]), (None, prose(30)), (52, "日本語のテスト文章はここにあります、とても長い文章です。もう一度、とても長い文章です。")]
     docs = list(EDGE)
     for n in range(60):
         i, item = rng.choice(items[:12])
@@ -58,6 +62,10 @@ def case():
         docs.append((100 + n, prose(rng.randrange(0, 30)) + " " + edited(rng, part, rng.randrange(0, 14)).upper() + "\n" + prose(rng.randrange(0, 30))))
     docs += [(200, "前 " + items[-1][1] + " 後"), (201, items[0][1]), (202, items[1][1].replace(" ", "\n\t "))]
     docs += [(300 + n, prose(120)) for n in range(20)]
+    docs += [(400, "in short, yes"), (401, "shortly after"), (402, "WHICH  HAT? none"), (403, "which hat ? none"), (404, "which hat?ss"), (405, "xwhich hat?")]
+    for n in range(80):  # short items with as many edits as their tenth, and some more
+        i, item = rng.choice([x for x in items if x[0] in (56, 57, 58, 59, 60)])
+        docs.append((500 + n, f"{prose(6)} {edited(rng, item, rng.randrange(0, len(item) // 10 + 2))} {prose(6)}"))
     return docs, items
 
 
@@ -71,6 +79,19 @@ def test_equal_to_brute_force(spark, case):
     assert sorted(map(tuple, blocks), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_rows_of_one_id_are_told_by_text(spark):
+    item = sentence(30)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(7, "clean words"), (7, f"so {item} there"), (None, item), (None, "clean"), (8, item)]
+    for given in (rows, rows[::-1]):
+        kept = D.drop_leaked(documents(spark, given), bench).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(7, "clean words"), (None, "clean")], key=str)
+
+
+def test_every_budget_leaves_a_common_qgram():
+    assert all(n - D.Q + 1 - D.Q * int(D.BUDGET * n) >= 1 for n in range(D.MIN_ITEM, D.WINDOW + 1))
+
+
 def test_drop_keeps_clean_documents(spark, case):
     docs, items = case
     bad = {d for d, _ in brute(docs, items)}
