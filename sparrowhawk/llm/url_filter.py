@@ -3,9 +3,9 @@
 A rule fits a url of its host or a subdomain whose path starts with the rule's path; the
 longest rule wins. Where no rule fits, a url is blocked if its canonical form is listed.
 The list is hashed into a blocked Bloom filter: a key sets eight bits in one block of 256,
-kept as four 64-bit words. Pages are probed first; only possible hits go on to the exact
-join with the list, which removes the filter's false positives. Everything is DataFrame
-functions. The filter is broadcast if its blocks, counted from the list, are few enough
+kept as four 64-bit words. Pages are probed first; only possible hits keep their key for the
+exact join with the list, which removes the filter's false positives. The list is a written
+table and pages are read once more beside it. Everything is DataFrame functions. The filter is broadcast if its blocks, counted from the list, are few enough
 (BROADCAST_BLOCKS), and else joined by block number.
 
 Cases: host and path of a null url, or one without ``://``, are empty: no rule fits, it is
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import written
+
 #: (verdict, host, path prefix)
 RULES = [
     ("allow", "com", "/"),
@@ -79,27 +81,29 @@ def bloom_blocks(listed: DataFrame, n: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; listed: canonical urls in column url_key."""
-    listed = listed.select("url_key").where(F.col("url_key").isNotNull()).distinct()
+    listed = written(listed.select("url_key").where(F.col("url_key").isNotNull()).distinct(), "listed")
     keys = listed.count()
     n = max(1, -(-keys * BITS_PER_KEY // 256))
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
-    asked = rows.where(F.col("_rule").isNull()).withColumn("_key", canonical(F.col("host"), F.col("path")))
+    # Only urls that have a host and that no rule fits have a key to ask for.
+    rows = rows.withColumn("_key", F.when(F.col("_rule").isNull(), canonical(F.col("host"), F.col("path"))))
     blocks = bloom_blocks(listed, n)
-    probed = asked.withColumn("_block", _shifted(F.col("_key"), n)).join(
+    # Rows without a key meet no block and no listed key; negative numbers deal them evenly where the joins shuffle.
+    spread = -1 - F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20))
+    probed = rows.withColumn("_block", F.when(F.col("_key").isNotNull(), _shifted(F.col("_key"), n)).otherwise(spread)).join(
         F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, F.col("_block") == F.col("block"), "left"
     )
-    maybe = F.lit(True)
+    maybe = F.col("block").isNotNull()
     for i, w in enumerate(_words(F.col("_key"))):
         maybe = maybe & (F.col(f"w{i}").bitwiseAND(w) == w)
-    probed = probed.withColumn("_maybe", F.coalesce(maybe, F.lit(False)) & F.col("_key").isNotNull())
-    out = lambda verdict, rule=F.lit(None).cast("string"): ["page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict")]
-    ruled = rows.where(F.col("_rule").isNotNull()).select(*out(F.col("_rule.verdict"), F.col("_rule.rule")))
-    free = probed.where(~F.col("_maybe")).select(*out(F.lit("allow")))
-    exact = probed.where("_maybe").join(listed, F.col("_key") == F.col("url_key"), "left")
-    hits = exact.select(*out(F.when(F.col("url_key").isNull(), "allow").otherwise("block")))
-    return ruled.unionAll(free).unionAll(hits)
+    # What the filter passes keeps its key and is joined exactly.
+    passed = F.coalesce(maybe, F.lit(False))
+    asked = probed.select("page_id", "host", "path", "_rule", F.when(passed, F.col("_key")).alias("_key"), F.when(passed, F.lit(0).cast("long")).otherwise(spread).alias("_part"))
+    exact = asked.join(listed.withColumn("part", F.lit(0).cast("long")), (F.col("_key") == F.col("url_key")) & (F.col("_part") == F.col("part")), "left")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("url_key").isNull(), "allow").otherwise("block"))
+    return exact.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def thin_list(pages: DataFrame, bytes_: int = THIN_BYTES) -> DataFrame:

@@ -61,14 +61,37 @@ def test_keys_agree(spark, rows):
 
 
 def test_null_and_repeated_pages(spark):
-    long = "z" * 200
-    rows = [(None, "http://a/", long), (1, "http://a/", long), (1, "http://a/", long), (2, "http://a/", long)]
-    got = sorted(map(tuple, W.round_trip(pages(spark, rows)).collect()), key=str)
-    assert [(r[0], r[3], r[4]) for r in got] == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1)]
+    """One response for a payload, whatever repeats; ids of records don't repeat."""
+    long, none = "z" * 200, "y" * 200
+    rows = [(None, "http://a/", long), (1, "http://b/", long), (1, "http://a/", long), (1, "http://a/", long), (2, "http://a/", long), (None, "http://n/", none), (None, "http://n/", none), (None, None, none), (3, "http://a/", "x"), (3, "http://a/", "x")]
+    for given in (rows, rows[::-1]):
+        archives = W.write_archives(pages(spark, given))
+        got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in W.read_archives(archives).collect()), key=str)
+        assert got == sorted(
+            [(1, 200, "response", None), (1, 200, "revisit", 1), (1, 200, "revisit", 1), (2, 200, "revisit", 1), (None, 200, "revisit", 1), (None, 200, "response", None), (None, 200, "revisit", None), (None, 200, "revisit", None)]
+            + [(3, 1, "response", None)] * 2,
+            key=str,
+        )
+        index = W.CaptureIndex(archives)
+        found = [f for u in ("http://a/", "http://b/", "http://n/", None) for f in index.lookup(u)]
+        assert len(found) == len({f["id"] for f in found}) == len(rows)
+
+
+def test_a_directory_out_of_order_is_noticed(spark, tmp_path):
+    rows = [(i, f"http://h{i % 9}.org/{i:03d}", f"{i}") for i in range(60)]
+    paths = [r["path"] for r in W.write_archives(pages(spark, rows), folder=f"file://{tmp_path}/w", block=4).collect()]
+    path = max(paths, key=lambda p: len(W.Archive(p).entries))
+    name = path.removeprefix("file://") + ".idx"
+    lines = open(name).read().split("\n")
+    with open(name, "w") as out:
+        out.write("\n".join(lines[::-1]))
+    batch = W.pa.RecordBatch.from_pydict({"path": [path]})
+    with pytest.raises(ValueError):
+        list(W._reader([batch]))
 
 
 def test_broken_records_are_noticed():
-    raw = W.record(1, "http://a/", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    raw = W.record(1, "http://a/", b"payload", hashlib.sha256(b"payload").hexdigest())
     assert W.parse(raw)["payload"] == b"payload"
     with pytest.raises(ValueError):
         W.parse(raw.replace(b"payload", b"pay1oad"))
