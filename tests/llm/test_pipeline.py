@@ -81,5 +81,28 @@ def test_packing_holds_every_piece(stages):
     assert max(per.values()) <= 4096
 
 
+def test_rows_that_share_an_id_are_dropped_one_by_one(spark, small):
+    """A copy, a near copy and a leak bear the ids of documents that stay, in both orders of rows."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(6)
+    a, b, c, d, e, f = [r["text"] for r in docs.collect()]
+    bench = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, a + " tail"), (4, d), (4, e + "\n" + bench), (5, f)]
+    for given in (rows, rows[::-1]):
+        kept = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], docs.schema)
+        for _, stage in C.STAGES[1:-1]:
+            kept = stage(spark, kept, small)
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (2, b), (3, c), (4, d), (5, f)])
+
+
+def test_run_leaves_its_result_only(spark, small, tmp_path, monkeypatch):
+    import os
+
+    from sparrowhawk.llm import common
+
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    assert C.run(spark, small).count() > 0
+    assert [x.split("-")[1] for x in os.listdir(tmp_path / "sparrowhawk")] == ["packing"]
+
+
 def test_elements_helper():
     assert N.similarity(N.elements("a b c d e f".split()), N.elements("a b c d e f".split())) == 1
