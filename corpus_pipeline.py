@@ -2,15 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as
 Parquet to the cluster's shared folder and reads it again as the next stage's docs. All but
-the last return the columns of documents. Rows with a null doc_id pass the filtering stages
-unless their language is rejected.
+the last return the columns of documents. Filtering stages tell rows by doc_id and text: a row
+that bears the doc_id of a dropped one stays, and rows with a null doc_id are rows like others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowhawk.llm.common import written
+from sparrowhawk.llm.common import discard, shared_path, working_area, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's working tables are deleted once its result is written, and so is the result before it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        at = shared_path(spark, f"pipeline-{name}")
+        with working_area(spark, f"work-{name}"):
+            docs = written(stage(spark, docs, sf_dir), name, at)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
