@@ -120,30 +120,6 @@ def is_public_key(line: Column, value: Column) -> Column:
     return matches(value, PUBLIC_KEY_VALUE, False) | matches(line, PUBLIC_KEY_NAME) | matches(line, ANON_KEY)
 
 
-def required_literal(pattern: str) -> str | None:
-    """A lower-case literal of four characters or more that every match of the pattern holds, if one is plain to see.
-
-    Only characters outside groups and classes count, none that a quantifier makes optional,
-    and none at all in patterns with alternatives.
-    """
-    if "|" in pattern:
-        return None
-    outside, depth = [], 0
-    token = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|[()]|\{[^}]*\}|.", re.S)
-    for t in token.findall(pattern):
-        depth += (t == "(") - (t == ")")
-        outside.append(t if depth == 0 and len(t) == 1 and t.isalnum() and t.isascii() else t if depth == 0 and t[:1] in "?*{" else " ")
-    runs, run = [], ""
-    for t, after in zip(outside, [*outside[1:], " "]):
-        if t.isalnum() and not (after in ("?", "*") or after.startswith("{0")):
-            run += t.lower()
-        else:
-            runs.append(run)
-            run = ""
-    best = max([*runs, run], key=len, default="")
-    return best if len(best) >= 4 else None
-
-
 def _needed(parsed, most: int = 24) -> set[str] | None:
     """Lower-case literals of which every match of a parsed pattern has one; the choice with the longest shortest."""
     from re import _constants as c

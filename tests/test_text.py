@@ -35,11 +35,6 @@ def test_mask_truncate_fingerprint(spark):
     assert fp == hashlib.sha1(b"r f snip").hexdigest()[:16]
 
 
-@pytest.mark.parametrize("pattern, want", [(r"dangerouslyAllowBrowser\s*:\s*true", "dangerouslyallowbrowser"), ("a|bcdef", None), (r"(?:abcdef)ghijk", "ghijk"), (r"abcde?fgh", "abcd"), (r"abc{0,2}defg", "defg"), (r"[abcdef]+xyz", None), (r"\bword", "word"), ("abcd*", None)])
-def test_required_literal(pattern, want):
-    assert text.required_literal(pattern) == want
-
-
 @pytest.mark.parametrize("pattern, want", [("a|b", None), ("abc|defg", {"abc", "defg"}), (r"\b(?:eval|spawn)\s*\(", {"eval", "spawn"}), ("(?:abc)?xyz", {"xyz"}), ("[abc]+", None), ("(?:foo){2}b", {"foo"}), ("(?!nothere)abcd", {"abcd"}), ("x(?:longer|longest)", {"xlonge"}), (r"DAN|abc", {"dan", "abc"})])
 def test_needed_literals(pattern, want):
     assert text.needed_literals(pattern) == want
@@ -63,8 +58,8 @@ def test_literal_is_never_missing_from_a_match():
     for r in CORE:
         if r.id in samples:
             assert re.search(r.pattern, samples[r.id], re.I)
-            lit = text.required_literal(r.pattern)
-            assert lit is None or lit in samples[r.id].lower()
+            literals = text.needed_literals(r.pattern)
+            assert literals is None or any(x in samples[r.id].lower() for x in literals)
 
 
 @pytest.mark.parametrize("glob, path, want", [("src/**/*.js", "src/a/b.js", True), ("src/**/*.js", "src/b.js", True), ("*.js", "a/b.js", False), ("a.b", "axb", False), ("**", "x/y", True)])
