@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def reaches(calls: DataFrame, sinks: DataFrame, passes: int = 8) -> DataFrame:
-    """(id, hops): nodes from which a sink is reached within so many calls (src, dst); hops is the least number, 0 for sinks.
+def cut(df: DataFrame) -> DataFrame:
+    """df by checkpoint, where the context has a folder for it or the session names one; cached on one machine without either."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined() and (root := sc.getConf().get("spark.checkpoint.dir")):
+        sc.setCheckpointDir(root)
+    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.cache()
 
-    Only the newly reached ones are joined in each pass. Lineage is cut by checkpoint where
-    the session has a folder for it.
+
+def reaches(calls: DataFrame, sinks: DataFrame, passes: int = 8, tags: list[str] = ()) -> DataFrame:
+    """(id, *tags, hops): nodes from which a sink (id, *tags) is reached within so many calls (src, dst); hops is the least number, 0 for sinks.
+
+    Only the newly reached ones are joined in each pass; the sinks' tags travel along.
     """
-    spark = calls.sparkSession
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    cut = lambda df: df.checkpoint() if shared else df.cache()
-    found = front = cut(sinks.select("id", F.lit(0).alias("hops")).distinct())
+    found = front = cut(sinks.select("id", *tags, F.lit(0).alias("hops")).distinct())
     for n in range(1, passes + 1):
-        new = calls.join(front, calls["dst"] == front["id"]).select(F.col("src").alias("id"), F.lit(n).alias("hops")).distinct()
-        front = cut(new.join(found.select("id"), "id", "left_anti"))
+        new = calls.join(front, calls["dst"] == front["id"]).select(F.col("src").alias("id"), *tags, F.lit(n).alias("hops")).distinct()
+        front = cut(new.join(found.select("id", *tags), ["id", *tags], "left_anti"))
         if front.isEmpty():
             break
         found = found.unionByName(front)
