@@ -10,6 +10,7 @@ from .lines import near
 
 # -- network ---------------------------------------------------------------------------------------------------
 
+#: Patterns of calls, of personal data and of routes that results depend on.
 URL_LITERAL = r"['\"]https?:\/\/([^'\"/]+)([^'\"]*)['\"]"
 WEB_SOCKET = r"new\s+WebSocket\s*\(\s*['\"]wss?:\/\/([^'\"/]+)"
 BEACON = r"sendBeacon\s*\(\s*['\"]https?:\/\/([^'\"/]+)"
@@ -112,6 +113,7 @@ AI_CALLS = [
     ("Cohere", r"https?:\/\/api\.cohere\.com"), ("Mistral", r"https?:\/\/api\.mistral\.ai"), ("Together AI", r"https?:\/\/api\.together\.xyz"), ("Groq", r"https?:\/\/api\.groq\.com"),
     ("Perplexity", r"https?:\/\/api\.perplexity\.ai"), ("xAI (Grok)", r"https?:\/\/api\.x\.ai"), ("DeepSeek", r"https?:\/\/api\.deepseek\.com"), ("Replicate", r"https?:\/\/api\.replicate\.com"),
 ]
+#: Patterns of calls, of personal data and of routes that results depend on.
 USER_DATA = r"\b(?:req\.body|req\.query|req\.params|request\.body|request\.query|request\.data|userInput|userText|userMessage)\b"
 PII_WORDS = r"\b(?:email|phone|ssn|address|password|credit.?card|cvv|dob|name|ip.?address)\b"
 REDACTION = r"redact|anonym|mask|scrub|sanitize|detectPII|redactText"
@@ -128,6 +130,7 @@ def ai_data(lines: DataFrame) -> DataFrame:
 
 # -- routes ---------------------------------------------------------------------------------------------------------
 
+#: Patterns of calls, of personal data and of routes that results depend on.
 ROUTE = r"(?:app|router|server)\.(?:get|post|put|delete|patch|all|use)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
 GUARD = r"(?:requireAuth|withAuth|protect|guard|authMiddleware|isAuthenticated|verifyToken|authenticate|clerkMiddleware|auth\(\)|getServerSession|getSession)"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -11,11 +13,12 @@ def baseline_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     A finding of the base remains if its rule is still found in its file, whatever the line;
     a current one is introduced if its rule was not found in its file.
     """
-    loose = ["rule_id", "file"]
-    now, was = current.select(*loose).distinct().withColumn("_in", F.lit(True)), base.select(*loose).distinct().withColumn("_in", F.lit(True))
-    old = base.join(now, loose, "left").select(*loose, "snippet", F.when(F.col("_in"), "remaining").otherwise("resolved").alias("status"))
-    new = current.join(was, loose, "left_anti").select(*loose, "snippet", F.lit("introduced").alias("status"))
-    return old.unionByName(new)
+    loose, columns = ["rule_id", "file"], ["rule_id", "file", "snippet"]
+    both = base.select(*columns, F.lit(True).alias("_base")).unionByName(current.select(*columns, F.lit(False).alias("_base")))
+    w = Window.partitionBy(*loose)
+    seen = both.withColumns({"_was": F.bool_or("_base").over(w), "_is": F.bool_or(~F.col("_base")).over(w)})
+    status = F.when(F.col("_base"), F.when(F.col("_is"), "remaining").otherwise("resolved")).when(~F.col("_was"), "introduced")
+    return seen.select(*columns, status.alias("status")).where("status is not null")
 
 
 def trend(base: DataFrame, current: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -50,18 +53,47 @@ def integrity(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select("path", status.alias("status"))
 
 
+GENESIS = "GENESIS"
+
+
+def link_hash(previous: Column, content: Column) -> Column:
+    """An entry's hash: over the hash before it and its own content, so that a changed entry changes all later hashes."""
+    return F.sha2(F.concat(previous, F.lit("\n"), F.coalesce(content, F.lit(""))), 256)
+
+
 def hash_chain(entries: DataFrame, key: list[str], order: list[str], content: Column) -> DataFrame:
-    """entries with hash, previous_hash: every entry's hash covers its content; previous_hash is that of the entry before (GENESIS first)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    df = entries.withColumn("hash", F.sha2(content, 256))
-    return df.withColumn("previous_hash", F.lag("hash", 1, "GENESIS").over(w))
+    """entries with previous_hash (GENESIS first) and hash, by key in the given order (null content counts as empty).
+
+    A hash depends on all before it, so that a key's entries are folded one after the other: in
+    the order of a sort that may spill, batch by batch, with one hash in memory. Keys are in
+    parallel; a single key is one task's work, as a chain can't be cut.
+    """
+    names = [f"`{c}`" for c in entries.columns]
+    rows = entries.select(F.struct(*names).alias("row"), F.coalesce(content, F.lit("")).alias("content"), F.xxhash64(*key).alias("at"), F.struct(*key).alias("key"), F.struct(*order).alias("order"))
+    sorted_ = rows.repartition("at").sortWithinPartitions("at", "key", "order").select("row", "content", F.to_json("key").alias("key"))
+
+    def fold(batches):
+        now, last = None, GENESIS
+        for pdf in batches:
+            before, own = [], []
+            for k, c in zip(pdf["key"], pdf["content"]):
+                if k != now:
+                    now, last = k, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}\n{c}".encode("utf-8", "replace")).hexdigest()
+                own.append(last)
+            yield pdf.drop(columns=["content", "key"]).assign(previous_hash=before, hash=own)
+
+    kept = sorted_.schema["row"].dataType.simpleString()
+    made = sorted_.select(F.to_json("row", {"ignoreNullFields": "false"}).alias("row"), "content", "key").mapInPandas(fold, "row string, previous_hash string, hash string")
+    return made.select(F.from_json("row", kept).alias("row"), "previous_hash", "hash").select("row.*", "previous_hash", "hash")
 
 
 def verify_chain(entries: DataFrame, key: list[str], order: list[str], content: Column | None = None) -> DataFrame:
-    """entries with link_ok (previous_hash is the hash of the entry before) and, given content, hash_ok."""
+    """entries with link_ok (previous_hash is the hash of the entry before) and, given content, hash_ok (hash is that of both)."""
     w = Window.partitionBy(*key).orderBy(*order)
-    df = entries.withColumn("link_ok", F.col("previous_hash") == F.lag("hash", 1, "GENESIS").over(w))
-    return df.withColumn("hash_ok", F.col("hash") == F.sha2(content, 256)) if content is not None else df
+    df = entries.withColumn("link_ok", F.col("previous_hash") == F.lag("hash", 1, GENESIS).over(w))
+    return df.withColumn("hash_ok", F.col("hash") == link_hash(F.col("previous_hash"), content)) if content is not None else df
 
 
 def audit_summary(entries: DataFrame, kind: str, ts: str) -> DataFrame:

@@ -132,9 +132,10 @@ def first_of_each(findings: DataFrame, key: list[str], order: list) -> DataFrame
     return findings.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def dedupe(findings: DataFrame) -> DataFrame:
-    """One finding of each rule, file, line and column."""
-    return findings.dropDuplicates(["rule_id", "file", "line", "column"])
+def dedupe(findings: DataFrame, rank: str = "pass_rank") -> DataFrame:
+    """One finding of each rule, file, line and column: that of the first pass (column rank, if it is there), then the most severe and sure."""
+    order = ([rank] if rank in findings.columns else []) + [severity_rank(F.col("severity")), F.desc(confidence_rank(F.col("confidence"))), "snippet"]
+    return first_of_each(findings, ["rule_id", "file", "line", "column"], order)
 
 
 def dedupe_history(findings: DataFrame) -> DataFrame:

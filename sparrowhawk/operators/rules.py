@@ -22,6 +22,7 @@ def _i(pattern: str):
     return re.compile(pattern, re.I | re.A)
 
 
+#: Weak secrets, shapes of SQL, public routes, and the patterns of the predicates below.
 _PLACEHOLDER, _ENV, _PUBLIC, _PUBLIC_NAME, _ANON = _i(PLACEHOLDER), re.compile(ENV_REFERENCE), re.compile(PUBLIC_KEY_VALUE), _i(PUBLIC_KEY_NAME), _i(ANON_KEY)
 WEAK = _i(r"^(?:secret|secretkey|keyboard cat|changeme|change[_-]?me|password|passwd|123456|test|dev|mysecret|supersecret|topsecret|shhh+|admin|token|jwt|s3cr3t)$")
 SQL_SHAPES = [_i(r"\bSELECT\b.*\bFROM\b"), _i(r"\bINSERT\s+INTO\b.*(?:\bVALUES\b|\()"), _i(r"\bUPDATE\b.*\bSET\b"), _i(r"\bDELETE\s+FROM\b.*\bWHERE\b")]
@@ -111,7 +112,7 @@ FILTERS = {
 class Compiled:
     """A rule made ready in a worker: pattern, literals of which one must be there, predicate."""
 
-    __slots__ = ("rule", "pattern", "literals", "keep", "files")
+    __slots__ = ("rule", "pattern", "literals", "keep", "files", "line_guard", "file_guard")
 
     def __init__(self, rule: Rule):
         self.rule = rule
@@ -119,6 +120,8 @@ class Compiled:
         self.literals = tuple(sorted(needed_literals(self.pattern.pattern) or ()))
         self.keep = FILTERS.get(rule.filter)
         self.files = re.compile(rule.file_filter) if rule.file_filter else None
+        self.line_guard = re.compile(rule.unless_line) if rule.unless_line else None
+        self.file_guard = re.compile(rule.unless_file) if rule.unless_file else None
 
     def may_match(self, low: str) -> bool:
         """Whether a lower-cased text has what every match has."""
@@ -143,7 +146,7 @@ def masked(line: str, match: str) -> str:
 def hits_of(path: str, content: str, rules: list[Compiled]) -> list[dict]:
     """Findings of one file. A line over LONG_LINE characters is not searched; the file's literals rule out most rules first."""
     low = content.lower()
-    active = [r for r in rules if r.may_match(low) and (r.files is None or r.files.search(path))]
+    active = [r for r in rules if r.may_match(low) and (r.files is None or r.files.search(path)) and not (r.file_guard and r.file_guard.search(content))]
     if not active:
         return []
     out = []
@@ -156,7 +159,7 @@ def hits_of(path: str, content: str, rules: list[Compiled]) -> list[dict]:
             if comment and r.skip_comments or not c.may_match(low):
                 continue
             for m in c.pattern.finditer(line):
-                if r.skip_in_string and inside_string(line, m.start()) or c.keep and not c.keep(line, m):
+                if r.skip_in_string and inside_string(line, m.start()) or c.keep and not c.keep(line, m) or c.line_guard and c.line_guard.search(line):
                     continue
                 out.append({"line": n, "column": m.start() + 1, "rule_id": r.id, "severity": r.severity, "confidence": r.derived_confidence, "title": r.title, "cwe": r.cwe, "snippet": masked(line, m[0])})
     return out
@@ -209,12 +212,13 @@ FILE_LINE_RULES = [
     ("iac.docker-compose", "medium", r"(?:^|/)(?:docker-)?compose\.(?:ya?ml)$", r"(?i)network_mode:\s*[\"']?host[\"']?", None),
     ("iac.docker-compose", "high", r"(?:^|/)(?:docker-)?compose\.(?:ya?ml)$", r"\b(?:[A-Z_]*?(?:PASSWORD|SECRET|TOKEN|API_?KEY|PRIVATE_?KEY|CREDENTIAL)[A-Z_]*?)\s*[:=]\s*[^$\"'*\s]", r"^\s*#"),
 ]
+#: Files of Kubernetes, and what must not stand in them.
 KUBERNETES = r"\b(?:apiVersion|kind):\s*(?:Deployment|Pod|StatefulSet|DaemonSet|Job|CronJob)\b"
 KUBERNETES_LINES = [
     ("high", r"(?i)privileged:\s*true"), ("medium", r"(?i)runAsUser:\s*0\b"), ("medium", r"(?i)hostNetwork:\s*true|hostPID:\s*true|hostIPC:\s*true"), ("medium", r"(?i)allowPrivilegeEscalation:\s*true"),
     ("medium", r"(?i)default-token|automountServiceAccountToken:\s*true"), ("medium", r"capabilities:.{0,80}?add:.{0,40}?(?:ALL|SYS_ADMIN|NET_ADMIN)|add:\s*\[\s*(?:ALL|SYS_ADMIN|NET_ADMIN)"),
 ]
-#: A line that needs a guard somewhere in its file: id, severity, what must be in the file, the line, the guard.
+#: A line that needs a guard somewhere in its file: id, severity, what must be in the file, the line, the guard.
 UNGUARDED = [
     ("ratelimit.missing-on-auth", "medium", None, r"(?i)\bapp\.(?:post|put)\s*\(\s*['\"]([^'\"]*(?:login|signin|sign-in|auth|register|signup|sign-up|password|reset|token|otp)[^'\"]*)['\"]", r"(?i)rate[-\s]?limit|ratelimit|express-rate-limit|slow[-\s]?down|slowDown|\blimiter\b|throttle|express-brute|bruteforce"),
     ("upload.unrestricted-multer", "medium", None, r"\bmulter\s*\(", r"fileFilter|limits\s*:"),
@@ -224,13 +228,19 @@ UNGUARDED = [
 def file_rules(files: DataFrame) -> DataFrame:
     """rule_id, severity, file, line of rules that look at whole files (file, content): infrastructure, missing guards, missing headers."""
     f, c, t = F.col("file"), F.col("content"), F.col("text")
-    lines = files.select("file", F.posexplode(F.split("content", "\r?\n", -1)).alias("_p", "text"), F.col("content")).withColumn("line", F.col("_p") + 1)
+    docker = r"(?i)(?:^|/)dockerfile$|\.dockerfile$"
+    # What holds for a file as a whole is found once; lines carry these flags, and no content.
+    paths = list(dict.fromkeys(path for _, _, path, _, _ in FILE_LINE_RULES))
+    flags = {f"p{i}": f.rlike(p) for i, p in enumerate(paths)} | {"k": f.rlike(r"\.ya?ml$") & c.rlike(KUBERNETES)} | {f"g{i}": c.rlike(guard) for i, (*_, guard) in enumerate(UNGUARDED)}
+    flagged = files.select("file", F.struct(*[v.alias(k) for k, v in flags.items()]).alias("flags"), F.split("content", "\r?\n", -1).alias("texts"))
+    lines = flagged.select("file", "flags", F.posexplode("texts").alias("_p", "text")).withColumn("line", F.col("_p") + 1)
     item = lambda test, i, s: F.when(test, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity")))
-    found = [item(f.rlike(path) & t.rlike(p) & (~t.rlike(excuse) if excuse else F.lit(True)), i, s) for i, s, path, p, excuse in FILE_LINE_RULES]
-    found += [item(f.rlike(r"\.ya?ml$") & c.rlike(KUBERNETES) & t.rlike(p), "iac.kubernetes", s) for s, p in KUBERNETES_LINES]
-    found += [item(t.rlike(p) & ~c.rlike(guard), i, s) for i, s, _, p, guard in UNGUARDED]
+    has = lambda name: F.col(f"flags.{name}")
+    found = [item(has(f"p{paths.index(path)}") & t.rlike(p) & (~t.rlike(excuse) if excuse else F.lit(True)), i, s) for i, s, path, p, excuse in FILE_LINE_RULES]
+    found += [item(has("k") & t.rlike(p), "iac.kubernetes", s) for s, p in KUBERNETES_LINES]
+    found += [item(~has(f"g{n}") & t.rlike(p), i, s) for n, (i, s, _, p, _) in enumerate(UNGUARDED)]
     by_line = lines.select("file", "line", F.explode(F.array_compact(F.array(*found))).alias("h")).select("h.rule_id", "h.severity", "file", "line")
-    root = f.rlike(r"(?i)(?:^|/)dockerfile$|\.dockerfile$") & ~c.rlike(r"(?im)^\s*USER\s+(?!root\b)\S+")
+    root = f.rlike(docker) & ~c.rlike(r"(?im)^\s*USER\s+(?!root\b)\S+")
     headers = f.rlike(r"^next\.config\.(?:js|mjs|ts|cjs)$") & ~(c.rlike(r"headers\s*\(|async\s+headers") & c.rlike(r"(?i)Strict-Transport-Security|Content-Security-Policy|X-Frame-Options|X-Content-Type-Options|Referrer-Policy|Permissions-Policy"))
     whole = F.array_compact(F.array(item(root, "iac.dockerfile", "medium"), item(headers, "nextjs.missing-security-headers", "low")))
     by_file = files.select("file", F.lit(1).alias("line"), F.explode(whole).alias("h")).select("h.rule_id", "h.severity", "file", "line")

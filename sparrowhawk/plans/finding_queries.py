@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, diff
 from ..operators import findings as ops
 from ..schema import WEIGHTS
+from .samples import PAIRS
 from .base import COLUMNS, CONTROLS, EFFECTIVE_SQL, FINDINGS_SQL, RANK_SQL, RULES, apply_rules, doc_files, doc_findings, doc_lines, grade_sql, table
 
 QUERIES, ORACLES = {}, {}
@@ -141,7 +142,7 @@ def secrets_only(spark, d):
     return ops.only(doc_findings(spark, d), "secret.")
 
 
-@query("supersede", sql(f"SELECT {COLUMNS} FROM findings f WHERE NOT (rule_id = 'secret.generic-credential' AND EXISTS (SELECT 1 FROM findings g WHERE g.file = f.file AND g.line = f.line AND g.rule_id <> 'secret.generic-credential'))"))
+@query("supersede", sql(f"SELECT {COLUMNS} FROM (SELECT *, bool_or(rule_id <> 'secret.generic-credential') OVER (PARTITION BY file, line) AS specific FROM findings) WHERE rule_id <> 'secret.generic-credential' OR NOT specific"))
 def supersede(spark, d):
     return ops.supersede(doc_findings(spark, d))
 
@@ -323,12 +324,12 @@ def grouped_lists(spark, d):
 
 @query("line_rules")
 def line_rules(spark, d):
-    """All line rules, of the core and of the shipped pack, over documents and pages as files, in one Arrow pass."""
-    from ..operators.catalog import CORE, shipped_pack
+    """The core's line rules, and those of a pack that the session names (sparrowhawk.rules.pack), over documents and pages as files, in one Arrow pass."""
     from ..operators.rules import match_rules
+    from ..sources.files import catalogue
 
     pages = table(spark, d, "pages").select(F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("file"), F.col("html").alias("content"))
-    return match_rules(doc_files(spark, d).select("file", "content").unionByName(pages), [*CORE, *shipped_pack()])
+    return match_rules(doc_files(spark, d).select("file", "content").unionByName(pages), catalogue(spark))
 
 
 @query("apply_rules_pages", "WITH files AS (SELECT 'page/' || page_id || '.html' AS file, html AS content FROM pages)" + FINDINGS_SQL[FINDINGS_SQL.index(", lines AS") :] + f" SELECT {COLUMNS} FROM findings")
@@ -337,3 +338,67 @@ def apply_rules_pages(spark, d):
 
     pages = table(spark, d, "pages").select(F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("file"), F.col("html").alias("content"))
     return apply_rules(explode_lines(pages))
+
+
+_N = len(PAIRS)
+_RULE_ARRAY = "[" + ", ".join(f"'{p[0]}'" for p in PAIRS) + "]"
+
+
+def _samples(spark, d):
+    """Parts as files: a line that a rule of the core fires on and, in the next line, one like it that it doesn't."""
+    lines = F.array(*[F.lit(f"{fires}\n{quiet}") for _, fires, quiet in PAIRS])
+    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".js")).alias("file"), F.element_at(lines, (F.col("p_partkey") % _N + 1).cast("int")).alias("content"))
+
+
+@query("core_rules", f"SELECT 'p' || p_partkey || '.js' AS file, {_RULE_ARRAY}[p_partkey % {_N} + 1] AS rule_id, true AS fires, false AS fires_next FROM part")
+def core_rules(spark, d):
+    """Every rule of the core on lines made for it: whether it fires on the first, and on the second."""
+    from ..operators.rules import match_rules
+
+    files = _samples(spark, d)
+    own = files.select("file", F.element_at(F.array(*[F.lit(p[0]) for p in PAIRS]), (F.regexp_extract("file", "[0-9]+", 0).cast("long") % _N + 1).cast("int")).alias("rule_id"))
+    found = match_rules(files).groupBy("file", "rule_id").agg(F.bool_or(F.col("line") == 1).alias("fires"), F.bool_or(F.col("line") == 2).alias("fires_next"))
+    return own.join(found, ["file", "rule_id"], "left").select("file", "rule_id", F.coalesce("fires", F.lit(False)).alias("fires"), F.coalesce("fires_next", F.lit(False)).alias("fires_next"))
+
+
+#: What a whole scan finds in the projects of scan_files: rule, file's name, line, whether it is suppressed.
+_SCANNED = [
+    ("secret.stripe-live-key", "key.js", 1, False), ("code.eval", "key.js", 2, True), ("taint.command-injection", "flow.js", 3, False), ("py.taint.code-injection", "run.py", 2, False), ("code.eval", "run.py", 2, False), ("iac.dockerfile", "Dockerfile", 1, False), ("corp.marker", "own.js", 1, False),
+    ("taint.command-injection", "route.js", 3, False),
+]
+
+
+def scan_files(spark, d):
+    """Suppliers as projects of some files each."""
+    texts = {
+        "key.js": "const password = 'sk_live_" + "a1" * 10 + "'\neval(x) // sparrowhawk-ignore-line", "flow.js": "const c = req.body.c\nconst d = c\nexec(d)", "run.py": "a = input()\neval(a)", "Dockerfile": "FROM node\nUSER app", "own.js": "CORP-MARKER", "README.md": "eval(x)",
+        "lib.js": "export function run(cmd) {\n  execSync(cmd)\n}", "route.js": "import { run } from './lib'\nfunction h(req) {\n  run(req.body.cmd)\n}", "ignored.js": "eval(y)",
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("content")) for k, v in texts.items()])
+    return table(spark, d, "supplier").select("s_suppkey", F.explode(each).alias("f")).select(F.concat(F.lit("s"), "s_suppkey", F.lit("/"), "f.name").alias("file"), "f.content")
+
+
+SCAN_CONFIG = {"customRules": [{"id": "corp.marker", "re": "corp-marker", "severity": "low"}], "ignorePaths": ["**/ignored.js"], "severityOverrides": {"iac.dockerfile": "critical"}}
+
+
+@query("whole_scan", "SELECT x.r AS rule_id, 's' || s_suppkey || '/' || x.f AS file, x.l AS line, x.s AS suppressed, CASE x.r WHEN 'iac.dockerfile' THEN 'critical' WHEN 'corp.marker' THEN 'low' ELSE NULL END AS set_severity FROM supplier, (VALUES " + ", ".join(f"({{'r': '{r}', 'f': '{f}', 'l': {n}, 's': {str(s).lower()}}})" for r, f, n, s in _SCANNED) + ") v(x)")
+def whole_scan(spark, d):
+    """All passes over suppliers' projects, superseded, suppressed, configured and deduplicated."""
+    from ..operators.scan import scan
+
+    own = F.when(F.col("rule_id").isin("iac.dockerfile", "corp.marker"), F.col("severity"))
+    return scan(scan_files(spark, d), config=SCAN_CONFIG).select("rule_id", "file", "line", "suppressed", own.alias("set_severity"))
+
+
+@query("corpus_scores", "SELECT c AS category, tp, fp, fn, tp / (tp + fp) AS precision, 1.0::DOUBLE AS recall, 2 * (tp / (tp + fp)) / (tp / (tp + fp) + 1) AS f1 FROM (SELECT *, (1.0 * n)::DOUBLE AS one FROM (SELECT unnest(['vuln', NULL]) AS c, count(*)::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, count(*) AS n FROM part))")
+def corpus_scores(spark, d):
+    """The parts' files as a labelled corpus of which each expects its own rule; others that fire are expected as well."""
+    from ..operators.scan import corpus_scores as run
+
+    files = _samples(spark, d)
+    from ..operators.rules import match_rules
+
+    found = match_rules(files).withColumn("suppressed", F.lit(False))
+    own = files.select(F.lit("vuln").alias("category"), "file", F.element_at(F.array(*[F.lit(p[0]) for p in PAIRS]), (F.regexp_extract("file", "[0-9]+", 0).cast("long") % _N + 1).cast("int")).alias("rule_id"))
+    only = found.join(own.select("file", "rule_id"), ["file", "rule_id"], "left_semi")
+    return run(only, own)

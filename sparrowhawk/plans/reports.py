@@ -11,7 +11,7 @@ from ..operators.findings import grade, ranked
 from ..schema import SEVERITIES, choose, severity_rank
 
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
-#: A report that a person reads; beyond this use write_findings.
+#: Findings in a report that a person reads, the first by rank; it says how many there are. All are written by write_findings and write_sarif.
 SHOWN = 5000
 
 
@@ -29,6 +29,12 @@ def _rows(findings: DataFrame) -> list:
     return ranked(findings).limit(SHOWN).collect()
 
 
+def _more(g) -> str:
+    """What a report says about the findings that it doesn't show."""
+    left = sum(g[s] for s in SEVERITIES) - SHOWN
+    return f"{left} more findings are not shown here" if left > 0 else ""
+
+
 def _grade(findings: DataFrame):
     return grade(findings).first()
 
@@ -36,7 +42,7 @@ def _grade(findings: DataFrame):
 def text_report(findings: DataFrame) -> str:
     g = _grade(findings)
     head = [f"Grade {g['grade']}: " + ", ".join(f"{g[s]} {s}" for s in SEVERITIES)]
-    return "\n".join(head + [f"{r['severity'].upper():8} {r['file']}:{r['line']}:{r['column']} {r['rule_id']}  {r['snippet']}" for r in _rows(findings)])
+    return "\n".join(head + [f"{r['severity'].upper():8} {r['file']}:{r['line']}:{r['column']} {r['rule_id']}  {r['snippet']}" for r in _rows(findings)] + ([_more(g)] if _more(g) else []))
 
 
 def sarif_parts(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,26 +56,37 @@ def sarif_parts(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sarif(findings: DataFrame, tool: str = "sparrowhawk", version: str = "0.1") -> str:
-    """SARIF 2.1.0 of at most SHOWN findings."""
+    """SARIF 2.1.0; of more than SHOWN findings it has the first, and says how many are left. write_sarif has no bound."""
     rules, results = sarif_parts(findings)
     rule_rows = [
         {"id": r["rule_id"], "name": r["title"], "shortDescription": {"text": r["title"]}, "defaultConfiguration": {"level": LEVELS.get(r["severity"], "warning")}} for r in rules.orderBy("rule_index").collect()
     ]
-    result_rows = [
-        {
-            "ruleId": r["rule_id"], "ruleIndex": r["rule_index"], "level": r["level"], "message": {"text": r["title"]}, "partialFingerprints": {"primary": r["fingerprint"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["line"], "startColumn": r["column"]}}}],
-        }
-        for r in _rows(results)
-    ]
+    result_rows = [_result(r) for r in _rows(results)]
     driver = {"name": tool, "version": version, "rules": rule_rows}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": result_rows}]}, indent=2)
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": result_rows, **({"properties": {"note": more}} if (more := _more(_grade(findings))) else {})}]}, indent=2)
+
+
+def _result(r) -> dict:
+    return {
+        "ruleId": r["rule_id"], "ruleIndex": r["rule_index"], "level": r["level"], "message": {"text": r["title"]}, "partialFingerprints": {"primary": r["fingerprint"]},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["line"], "startColumn": r["column"]}}}],
+    }
+
+
+def write_sarif(findings: DataFrame, path: str) -> None:
+    """All findings as SARIF results, one JSON text a line, below path/results, and the rules below path/rules; written by the tasks."""
+    rules, results = sarif_parts(findings)
+    at = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), at.alias("region")).alias("physicalLocation"))
+    row = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), "level", F.struct(F.col("title").alias("text")).alias("message"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"), F.array(place).alias("locations"))
+    results.select(F.to_json(row).alias("value")).write.text(f"{path}/results")
+    rules.select(F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), "rule_index", "severity")).alias("value")).write.text(f"{path}/rules")
 
 
 def html_report(findings: DataFrame) -> str:
     g, e = _grade(findings), lambda x: html.escape(str(x))
     rows = "".join(f"<tr><td>{e(r['severity'])}</td><td>{e(r['rule_id'])}</td><td>{e(r['file'])}:{r['line']}</td><td><code>{e(r['snippet'])}</code></td></tr>" for r in _rows(findings))
-    return f"<!DOCTYPE html><html><body><h1>Grade {g['grade']}</h1><table>{rows}</table></body></html>"
+    return f"<!DOCTYPE html><html><body><h1>Grade {g['grade']}</h1><table>{rows}</table><p>{_more(g)}</p></body></html>"
 
 
 def markdown(findings: DataFrame, shown: int = 20) -> str:
@@ -101,8 +118,10 @@ def chat_payload(findings: DataFrame) -> str:
 
 
 def content_policy(endpoints: DataFrame) -> str:
-    """A Content-Security-Policy of the domains that the code calls; their number is that of distinct domains, cut at SHOWN."""
-    hosts = [r[0] for r in endpoints.select("domain").distinct().orderBy("domain").limit(SHOWN).collect()]
+    """A Content-Security-Policy of the distinct domains that the code calls; more than SHOWN raise, as no header holds them."""
+    hosts = [r[0] for r in endpoints.select("domain").distinct().orderBy("domain").limit(SHOWN + 1).collect()]
+    if len(hosts) > SHOWN:
+        raise ValueError(f"more than {SHOWN} domains")
     return "default-src 'self'; connect-src 'self'" + "".join(f" https://{h}" for h in hosts)
 
 

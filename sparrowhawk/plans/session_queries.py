@@ -90,22 +90,24 @@ def every_twenty(spark, d):
 _ENTRY = "concat_ws('|', event_id::VARCHAR, event_type, user_id::VARCHAR)"
 
 
-@query("hash_chain", f"WITH h AS (SELECT user_id, event_id, ts, sha256({_ENTRY}) AS hash FROM events) SELECT user_id, event_id, hash, coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') AS previous_hash FROM h")
+_CHAIN = f"""RECURSIVE o AS (SELECT user_id, event_id, {_ENTRY} AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+chain AS (SELECT user_id, event_id, i, 'GENESIS' AS previous_hash, sha256('GENESIS' || chr(10) || c) AS hash FROM o WHERE i = 1
+UNION ALL SELECT o.user_id, o.event_id, o.i, chain.hash, sha256(chain.hash || chr(10) || o.c) FROM chain JOIN o ON o.user_id = chain.user_id AND o.i = chain.i + 1)"""
+
+
+@query("hash_chain", f"WITH {_CHAIN} SELECT user_id, event_id, hash, previous_hash FROM chain")
 def hash_chain(spark, d):
+    """Users' events as audit logs; the SQL walks each log entry by entry."""
     e = table(spark, d, "events")
     return diff.hash_chain(e, ["user_id"], ["ts", "event_id"], F.concat_ws("|", "event_id", "event_type", "user_id")).select("user_id", "event_id", "hash", "previous_hash")
 
 
-@query(
-    "hash_chain_verify",
-    f"""WITH h AS (SELECT user_id, event_id, ts, event_id % 97 = 0 AS bad, sha256({_ENTRY}) AS hash FROM events), c AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') AS was FROM h)
-SELECT user_id, event_id, NOT bad AS link_ok, true AS hash_ok FROM c""",
-)
+@query("hash_chain_verify", f"WITH {_CHAIN} SELECT user_id, event_id, event_id % 97 <> 0 AS link_ok, event_id % 97 <> 0 AND event_id % 89 <> 0 AS hash_ok FROM chain")
 def hash_chain_verify(spark, d):
-    """Every 97th entry's link is broken first."""
+    """Every 97th entry's link is broken first, and every 89th entry's content."""
     content = F.concat_ws("|", "event_id", "event_type", "user_id")
     c = diff.hash_chain(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], content)
-    c = c.withColumn("previous_hash", F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("previous_hash")))
+    c = c.withColumns({"previous_hash": F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("previous_hash")), "event_type": F.when(F.col("event_id") % 89 == 0, "forged").otherwise(F.col("event_type"))})
     return diff.verify_chain(c, ["user_id"], ["ts", "event_id"], content).select("user_id", "event_id", "link_ok", "hash_ok")
 
 
@@ -125,16 +127,9 @@ def transcript_messages(spark, d):
     return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("n_user"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
 
 
-@query("trace_prompts", "WITH f AS (SELECT doc_id, left(text, 30) AS s FROM documents WHERE doc_id < 50 AND length(text) >= 30) SELECT DISTINCT doc_id AS line, conv_id, turn FROM f JOIN conversations c ON contains(c.text, f.s)")
+@query("trace_prompts")
 def trace_prompts(spark, d):
-    """The beginnings of fifty documents stand for the snippets of a scan's findings."""
-    f = table(spark, d, "documents").where("doc_id < 50 and length(text) >= 30").select(F.lit("r").alias("rule_id"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.left("text", F.lit(60)).alias("snippet"), F.lit("").alias("title"))
-    return sessions.trace_findings(f, table(spark, d, "conversations")).select("line", "conv_id", "turn")
-
-
-@query("trace_prompts_all")
-def trace_prompts_all(spark, d):
-    """The beginnings of all documents, of any length, traced to messages."""
+    """The beginnings of all documents, of any length, stand for the snippets of a scan's findings. Tested by brute force."""
     f = table(spark, d, "documents").where("text is not null").select(F.lit("r").alias("rule_id"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.left("text", F.lit(60)).alias("snippet"), F.lit("").alias("title"))
     return sessions.trace_findings(f, table(spark, d, "conversations")).select("line", "conv_id", "turn")
 

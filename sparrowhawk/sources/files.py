@@ -8,20 +8,19 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import strip
-from ..operators.catalog import Rule
+from ..operators.catalog import CORE, Rule
 from ..operators.lines import MAX_FILE, is_binary, scannable
 
 
-#: Environment files are hidden files, which Spark's listings leave out; they are looked for to this depth.
-ENV_DEPTH = 4
-
-
 def _env_files(spark: SparkSession, root: str) -> DataFrame | None:
-    """path, length, content of environment files; they are few and small, and come through the driver's file system."""
+    """path, length, content of environment files at any depth. They are hidden files, which Spark's listings leave out; they are few and small, and come through the driver's file system."""
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    globs = [f"{root.rstrip('/')}/{'*/' * n}.env*" for n in range(ENV_DEPTH)]
-    found = [x for g in globs for x in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(g)) or []) if x.isFile() and x.getLen() <= MAX_FILE]
+    every, found = fs.listFiles(jvm.org.apache.hadoop.fs.Path(root), True), []
+    while every.hasNext():
+        x = every.next()
+        if x.getPath().getName().startswith(".env") and x.getLen() <= MAX_FILE:
+            found.append(x)
     rows = []
     for x in found:
         stream = fs.open(x.getPath())
@@ -131,6 +130,8 @@ def image_scan(spark: SparkSession, path: str) -> DataFrame:
 _OBJECT = re.compile(r"\{\s*id:\s*(['\"])(?P<id>[^'\"]+)\1(?P<rest>.*?)\n?\s*\}\s*,?\s*(?=\n|\{|\]|$)", re.S)
 _FIELD = re.compile(r"\b(severity|confidence|title|cwe):\s*(['\"])((?:\\.|(?!\2).)*)\2", re.S)
 _REGEX = re.compile(r"\bre:\s*/((?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\n\[])+)/([a-z]*)")
+_TEST = r"/((?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\n\[])+)/([a-z]*)\.test\((\w+)\)"
+_UNLESS_LINE, _UNLESS_FILE = re.compile(r"\bfilter:\s*\(\w+[^)]*\)\s*=>\s*!" + _TEST), re.compile(r"\bfilter:\s*\([^)]*\)\s*=>\s*!\w+\.some\(\w+\s*=>\s*" + _TEST)
 _FILE = re.compile(r"\bfileFilter:\s*/((?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\n\[])+)/")
 
 
@@ -138,7 +139,10 @@ def rule_pack(spark: SparkSession, path: str, dead: tuple[str, ...] = ()) -> lis
     """Rules of a pack given by path: JSON lines with Rule's fields, or source text of object literals ``{ id: '...', severity: '...', re: /.../i }``.
 
     A pack is a small file of rules; it is read through Spark, so that it may lie in any store.
-    Rules without a pattern are left out; ids in dead are kept but not enabled.
+    Rules without a pattern are left out; ids in dead are kept but not enabled. Filters of the
+    forms ``(line) => !/../.test(line)`` and ``(..) => !lines.some(l => /../.test(l))`` are kept as
+    patterns that excuse a line or a file; a rule whose filter is a function's body is matched
+    without it.
     """
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     if path.endswith((".json", ".jsonl")):
@@ -157,10 +161,22 @@ def rule_pack(spark: SparkSession, path: str, dead: tuple[str, ...] = ()) -> lis
         except re.error:
             continue
         comments = "skipComments: true" in body
-        out.append(Rule(m["id"], fields["severity"], source, fields.get("title", m["id"]), fields.get("confidence"), fields.get("cwe"), "i" in pattern[2], files[1] if files else None, comments, "skipInString: true" in body, enabled=m["id"] not in dead))
+        unless = [m and ("(?i)" if "i" in m[2] else "") + m[1].replace(r"\/", "/") for m in (_UNLESS_LINE.search(body), _UNLESS_FILE.search(body))]
+        out.append(Rule(m["id"], fields["severity"], source, fields.get("title", m["id"]), fields.get("confidence"), fields.get("cwe"), "i" in pattern[2], files[1] if files else None, comments, "skipInString: true" in body, enabled=m["id"] not in dead, unless_line=unless[0], unless_file=unless[1]))
     return out
 
 
+#: The setting that names a pack by path.
+PACK_KEY = "sparrowhawk.rules.pack"
+
+
+def catalogue(spark: SparkSession, path: str | None = None) -> list[Rule]:
+    """The core's rules and those of a pack: path, or else what the session's setting PACK_KEY names; rules of the core keep their ids."""
+    path = path or spark.conf.get(PACK_KEY, None)
+    own = {r.id for r in CORE}
+    return [*CORE, *(r for r in rule_pack(spark, path) if r.id not in own)] if path else list(CORE)
+
+
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The catalogue as a DataFrame."""
     names = list(Rule.__dataclass_fields__)

@@ -96,3 +96,22 @@ def test_components_and_chain(spark):
     assert diff.verify_chain(chain, ["k"], ["i"], F.col("x")).where("not link_ok or not hash_ok").count() == 0
     forged = chain.withColumn("x", F.when(F.col("i") == 2, "evil").otherwise(F.col("x")))
     assert [r["i"] for r in diff.verify_chain(forged, ["k"], ["i"], F.col("x")).where("not hash_ok").collect()] == [2]
+    assert chain.columns == ["k", "i", "x", "previous_hash", "hash"]
+    again = {r["i"]: r["hash"] for r in diff.hash_chain(forged.select("k", "i", "x"), ["k"], ["i"], F.col("x")).collect()}
+    was = {r["i"]: r["hash"] for r in chain.collect()}
+    assert [again[i] == was[i] for i in range(4)] == [True, True, False, False]  # a rewritten entry changes every later hash
+    import hashlib
+
+    last = "GENESIS"
+    for i in range(4):
+        last = hashlib.sha256(f"{last}\nx{i}".encode()).hexdigest()
+        assert was[i] == last
+
+
+def test_chain_keys_nulls_and_ties(spark):
+    rows = [(k, i, None if i == 1 else f"é{i}") for k in ("u", None, "v") for i in range(3)]
+    e = spark.createDataFrame(rows, "k string, i int, x string").repartition(3)
+    chain = diff.hash_chain(e, ["k"], ["i"], F.col("x"))
+    assert chain.count() == 9 and chain.where("previous_hash = 'GENESIS'").count() == 3
+    assert diff.verify_chain(chain, ["k"], ["i"], F.col("x")).where("not link_ok or not hash_ok").count() == 0
+    assert diff.hash_chain(e.where("false"), ["k"], ["i"], F.col("x")).count() == 0
