@@ -52,6 +52,31 @@ def lock_audit(components: DataFrame) -> DataFrame:
     return components.select("package", F.explode(kinds).alias("k")).select("package", "k.*")
 
 
+def dependency_totals(files: DataFrame) -> DataFrame:
+    """file, packages, with_integrity, dev of lockfiles (file, content), of whichever section they have; nested copies count."""
+    entry = "struct<version:string,integrity:string,dev:boolean>"
+    lock = F.from_json("content", f"struct<packages:map<string,{entry}>,dependencies:map<string,{entry}>>")
+    every = F.filter(F.map_entries(F.coalesce(lock["dependencies"], lock["packages"])), lambda e: e["key"] != "")
+    rows = files.select("file", every.alias("e")).where("e is not null")
+    n = lambda test: F.size(F.filter("e", test)).cast("long")
+    return rows.select("file", F.size("e").cast("long").alias("packages"), n(lambda e: F.coalesce(e["value"]["integrity"], F.lit("")) != "").alias("with_integrity"), n(lambda e: F.coalesce(e["value"]["dev"], F.lit(False))).alias("dev"))
+
+
+def npm_audit(files: DataFrame) -> DataFrame:
+    """file, package, severity, title of npm's audit reports (file, content); a package's title is that of its first advisory, or the package it comes by."""
+    report = F.from_json("content", "struct<vulnerabilities:map<string,struct<name:string,severity:string,via:array<string>>>>")
+    rows = files.select("file", F.explode(report["vulnerabilities"]).alias("package", "v")).select("file", "package", "v.severity", F.try_element_at("v.via", F.lit(1)).alias("first"))
+    return rows.select("file", "package", F.coalesce(choose(F.col("severity"), EXTERNAL_SEVERITY), F.lit("medium")).alias("severity"), F.coalesce(F.get_json_object("first", "$.title"), F.concat(F.lit("by "), "first")).alias("title"))
+
+
+def pip_audit(files: DataFrame) -> DataFrame:
+    """file, package, version, id, fix of pip's audit reports (file, content): fix is the first version without the fault, if there is one."""
+    item = "struct<name:string,version:string,vulns:array<struct<id:string,fix_versions:array<string>>>>"
+    report = F.coalesce(F.from_json("content", f"struct<dependencies:array<{item}>>")["dependencies"], F.from_json("content", f"array<{item}>"))
+    rows = files.select("file", F.explode(report).alias("d")).select("file", F.col("d.name").alias("package"), F.col("d.version").alias("version"), F.explode("d.vulns").alias("v"))
+    return rows.select("file", "package", "version", F.col("v.id").alias("id"), F.try_element_at("v.fix_versions", F.lit(1)).alias("fix"))
+
+
 def dependency_findings(deps: DataFrame) -> DataFrame:
     """deps (package, version) with type and severity of each risk of name and version."""
     pin = pin_risk(F.col("version"))
@@ -102,9 +127,13 @@ def license_report(components: DataFrame) -> DataFrame:
     return components.withColumn("compliant", license_compliant(F.col("license")))
 
 
-def sbom(components: DataFrame, imported: DataFrame | None = None) -> DataFrame:
-    """One CycloneDX document (JSON text) of the components (package, version, license), sorted by name."""
-    c = components
+def sbom(components: DataFrame, imported: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """CycloneDX documents (by, sbom: JSON text) of the components (package, version, license), sorted by name.
+
+    by: columns that tell projects apart, as file does; without them all components are one
+    document, which a single task must hold. A component that is listed twice is told once.
+    """
+    c = components.dropDuplicates([*by, "package", "version"])
     if imported is not None:
         used = imported.groupBy("package").agg(F.sort_array(F.collect_set("file")).alias("used_by"))
         c = c.join(used, "package", "left")
@@ -112,7 +141,7 @@ def sbom(components: DataFrame, imported: DataFrame | None = None) -> DataFrame:
         F.lit("library").alias("type"), F.col("package").alias("name"), "version", F.concat(F.lit("pkg:npm/"), F.col("package"), F.lit("@"), F.col("version")).alias("purl"), *(["used_by"] if imported is not None else [])
     )
     rows = F.sort_array(F.collect_list(F.struct("package", item.alias("c"))))
-    return c.agg(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), F.transform(rows, lambda r: r["c"]).alias("components"))).alias("sbom"))
+    return c.groupBy(*by).agg(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), F.transform(rows, lambda r: r["c"]).alias("components"))).alias("sbom"))
 
 
 # -- configurations of agents' servers ------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.findings import grade, ranked
 from ..schema import SEVERITIES, choose, severity_rank
@@ -89,6 +89,29 @@ def html_report(findings: DataFrame) -> str:
     return f"<!DOCTYPE html><html><body><h1>Grade {g['grade']}</h1><table>{rows}</table><p>{_more(g)}</p></body></html>"
 
 
+def dashboard(findings: DataFrame, history: DataFrame | None = None) -> str:
+    """An HTML page of aggregates: the grade, a matrix of categories by severity, the files with most findings, and a trend (history: day, n)."""
+    from ..operators.findings import severity_matrix, top_files
+
+    g, e = _grade(findings), lambda x: html.escape(str(x))
+    row = lambda cells, tag="td": "<tr>" + "".join(f"<{tag}>{e(c)}</{tag}>" for c in cells) + "</tr>"
+    head = ["category", *SEVERITIES, "total"]
+    matrix = "".join(row([r[c] for c in head]) for r in severity_matrix(findings).orderBy(F.desc("weight"), "category").collect())
+    files = "".join(row([r["file"], r["n"]]) for r in top_files(findings).collect())
+    days = history.orderBy(F.desc("day")).limit(90).collect()[::-1] if history is not None else []
+    most = max((r["n"] for r in days), default=1) or 1
+    line = " ".join(f"{i * 6},{100 - 100 * r['n'] // most}" for i, r in enumerate(days))
+    trend = f'<svg width="{6 * len(days)}" height="100"><polyline fill="none" stroke="#247" points="{line}"/></svg>' if days else ""
+    return f"<!DOCTYPE html><html><body><h1>Grade {g['grade']}</h1><table>{row(head, 'th')}{matrix}</table><table>{row(['file', 'findings'], 'th')}{files}</table>{trend}</body></html>"
+
+
+def read_audit(spark: SparkSession, path: str, key: list[str], order: list[str], content: str, schema: str) -> DataFrame:
+    """An exported audit log (JSON by line) with link_ok and hash_ok: what was changed outside shows."""
+    from ..operators.diff import verify_chain
+
+    return verify_chain(spark.read.schema(schema).json(path), key, order, F.col(content))
+
+
 def markdown(findings: DataFrame, shown: int = 20) -> str:
     """A comment for a change: the grade, and the first findings."""
     g = _grade(findings)

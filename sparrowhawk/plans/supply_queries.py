@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, network, packages
 from ..functions.text import sql_matches
-from ..operators import audit, diff, supply
+from ..operators import audit, diff, gates, supply
 from ..schema import sql_case
 from .base import FILES_SQL, LINES_SQL, doc_files, doc_lines, table
 
@@ -334,3 +334,56 @@ ORACLES["call_graph"] = """
 WITH RECURSIVE o AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst, o_totalprice FROM orders),
 r(id, hops) AS (SELECT id, 0 FROM o WHERE o_totalprice > 400000 UNION SELECT o.id, r.hops + 1 FROM r JOIN o ON o.dst = r.id WHERE r.hops < 8)
 SELECT id, min(hops)::INT AS hops FROM r GROUP BY id"""
+
+
+# -- gates and what goes out ---------------------------------------------------------------------------------------
+
+
+def _gate_sql():
+    facts = {c: f"(s_suppkey * {7 + 2 * i}) % {3 + i % 4}" for i, c in enumerate(gates.COUNTS)} | {c: f"s_suppkey % {2 + i} = 0" for i, c in enumerate(gates.FLAGS)}
+    facts["unknown_packages"], facts["ignored_rules"] = "s_suppkey % 11", "s_suppkey % 40"
+    return ", ".join(f"{v} AS {k}" for k, v in facts.items())
+
+
+_STATUS = " UNION ALL ".join(
+    f"SELECT s_suppkey, '{g}' AS gate, CASE {f'WHEN {f} THEN {chr(39)}fail{chr(39)}' if f else ''} {f'WHEN {w} THEN {chr(39)}warn{chr(39)}' if w else ''} ELSE 'pass' END AS status FROM facts" for g, f, w, _ in gates.GATES
+)
+
+
+def _facts(spark, d):
+    return table(spark, d, "supplier").selectExpr("s_suppkey", *_gate_sql().split(", "))
+
+
+@query("gate_results", f"WITH facts AS (SELECT s_suppkey, {_gate_sql()} FROM supplier) {_STATUS}")
+def gate_results(spark, d):
+    """Suppliers as projects whose audits found so and so much."""
+    return gates.gate_results(_facts(spark, d), ["s_suppkey"])
+
+
+@query("gates_ready", f"WITH facts AS (SELECT s_suppkey, {_gate_sql()} FROM supplier), r AS ({_STATUS}) SELECT s_suppkey, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warn') AS warnings, count(*) FILTER (status = 'fail') AS failed, 0::BIGINT AS unknown, count(*) FILTER (status = 'fail') = 0 AS ready FROM r GROUP BY 1")
+def gates_ready(spark, d):
+    return gates.ready(gates.gate_results(_facts(spark, d), ["s_suppkey"]), ["s_suppkey"])
+
+
+_LOCK = "'{{\"dependencies\": {{\"a' || {k} || '\": {{\"version\": \"1\", \"integrity\": \"sha512-x\"}}, \"b\": {{\"version\": \"2\", \"dev\": ' || CASE WHEN {k} % 2 = 0 THEN 'true' ELSE 'false' END || '}}, \"c\": {{\"version\": \"3\"}}}}}}'"
+
+
+@query("dependency_totals", "SELECT 'p' || p_partkey AS file, 3::BIGINT AS packages, 1::BIGINT AS with_integrity, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS dev FROM part")
+def dependency_totals(spark, d):
+    return supply.dependency_totals(table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("file"), F.expr(_LOCK.format(k="p_partkey")).alias("content")))
+
+
+_PAGE_HOST = r"regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)"
+
+
+@query(
+    "outbound",
+    f"""WITH p AS (SELECT page_id, {_PAGE_HOST} AS host, CASE page_id % 4 WHEN 0 THEN '/home/u/.ssh/id' WHEN 1 THEN 'app/.env' ELSE 'src/a.js' END AS path, CASE page_id % 3 WHEN 0 THEN 'sudo curl x' ELSE 'ls' END AS command FROM pages),
+r AS (SELECT page_id, list_filter([CASE WHEN contains(host, 'example') THEN 'host:example' END, CASE WHEN contains(path, '.env') THEN 'path:.env' END, CASE WHEN contains(path, '.ssh') THEN 'path:.ssh' END, CASE WHEN contains(command, 'sudo') THEN 'command:sudo' END, CASE WHEN contains(command, 'curl') THEN 'command:curl' END], lambda x: x IS NOT NULL) AS l FROM p)
+SELECT page_id, array_to_string(l, ',') AS refused, len(l) = 0 AS allowed FROM r""",
+)
+def outbound(spark, d):
+    """Pages' urls as targets, with paths and commands beside them."""
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select("page_id", "url", F.when(k % 4 == 0, "/home/u/.ssh/id").when(k % 4 == 1, "app/.env").otherwise("src/a.js").alias("path"), F.when(k % 3 == 0, "sudo curl x").otherwise("ls").alias("command"))
+    return commands.outbound(rows, ["example"]).select("page_id", F.array_join("refused", ",").alias("refused"), "allowed")

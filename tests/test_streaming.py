@@ -60,6 +60,35 @@ def test_secrets_in_pieces(spark, source):
     assert {(s, r) for s, r, _ in got} == {(1, "secret.anthropic-key")} and len(got) == 1
 
 
+def test_long_values_with_predicates_in_small_pieces(spark, source):
+    value = "Zx8" * 300
+    text = f"note password = '{value}' and mongodb+srv://svc:{'h' * 400}@db password = 'changeme'"
+    pieces = [text[i : i + 7] for i in range(0, len(text), 7)]
+    rows = list(enumerate(pieces))
+    got = run(spark, S.delta_violations(source([[(1, i, p) for i, p in rows[j : j + 60]] for j in range(0, len(rows), 60)], "stream_id long, seq int, delta string")), "long_deltas")
+    assert sorted((r["rule_id"], r["at"], r["first"]) for r in got) == [("secret.connection-string", text.index("mongodb"), False), ("secret.generic-credential", text.index("password"), True)]
+
+
+def test_open_from():
+    assert S.open_from("x" * 1000, 256) == 0  # one run
+    assert S.open_from("x " * 500, 256) == 744
+    text = "a b " * 200 + "password = 'word word " + "w " * 300
+    assert S.open_from(text, 256) == text.index("password")
+
+
+def test_recent_events_keep_a_bounded_buffer(spark, source):
+    got = run(spark, S.recent_events(source([acts(30), acts(10, start=30)], SCHEMA), most=8), "recent", "append")
+    last = max(got, key=lambda r: r["events"])
+    assert (last["events"], last["kept"], last["risk_score"], len(last["types"])) == (40, 8, 72, 8)
+
+
+def test_tool_arguments_are_whole_once(spark, source):
+    parts = ['{"cmd": "a', ' }", "n"', ": [1]}", " "]
+    rows = [[(1, 0, i, p), (1, 1, i, "[" if i == 0 else "]" if i == 3 else "")] for i, p in enumerate(parts)]
+    got = run(spark, S.tool_arguments(source(rows, "stream_id long, call int, seq int, delta string")), "tools")
+    assert sorted((r["call"], r["arguments"]) for r in got) == [(0, "".join(parts[:3])), (1, "[]")]
+
+
 def test_changed_paths(spark, source):
     t = pd.Timestamp("2024-01-01").to_pydatetime()
     got = run(spark, S.changed_paths(source([[("a", t), ("a", t)], [("a", t), ("b", t)]], "path string, ts timestamp")), "paths")
