@@ -127,11 +127,17 @@ def transcript_messages(spark, d):
     return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("n_user"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
 
 
-@query("trace_prompts")
+@query(
+    "trace_prompts",
+    """WITH f AS (SELECT doc_id, left(text, 30) AS s FROM documents WHERE text <> ''), m AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT 1000000 + doc_id, 0, 'as you wrote: ' || text FROM documents WHERE doc_id % 10 = 3)
+SELECT DISTINCT doc_id AS line, conv_id, turn FROM f JOIN m ON contains(m.text, f.s)""",
+)
 def trace_prompts(spark, d):
-    """The beginnings of all documents, of any length, stand for the snippets of a scan's findings. Tested by brute force."""
-    f = table(spark, d, "documents").where("text is not null").select(F.lit("r").alias("rule_id"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.left("text", F.lit(60)).alias("snippet"), F.lit("").alias("title"))
-    return sessions.trace_findings(f, table(spark, d, "conversations")).select("line", "conv_id", "turn")
+    """The beginnings of all documents stand for the snippets of a scan's findings; every tenth document is quoted in a message."""
+    docs = table(spark, d, "documents")
+    f = docs.where("text is not null").select(F.lit("r").alias("rule_id"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.left("text", F.lit(60)).alias("snippet"), F.lit("").alias("title"))
+    quoted = docs.where("doc_id % 10 = 3").select((F.col("doc_id") + 1_000_000).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.concat(F.lit("as you wrote: "), "text").alias("text"))
+    return sessions.trace_findings(f, table(spark, d, "conversations").select("conv_id", "turn", "text").unionByName(quoted)).select("line", "conv_id", "turn")
 
 
 @query("behavior_stream", f"WITH {_ACTS}, r AS (SELECT user_id, count(*) AS events, sum(risk)::BIGINT AS risk_score FROM a GROUP BY user_id) SELECT *, {_LEVEL} AS risk_level FROM r")

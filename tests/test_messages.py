@@ -86,15 +86,6 @@ def test_protected_lines(spark):
     assert protected_lines(docs, "doc_id", "text", items.where("false")).count() == 0
 
 
-def test_findings_are_traced_by_all_documents(spark, small):
-    from sparrowhawk import registry
-
-    got = sorted((r["line"], r["conv_id"], r["turn"]) for r in registry.QUERIES["trace_prompts_all"](spark, small).collect())
-    docs = [(r["doc_id"], r["text"][:30]) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"]]
-    said = [(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{small}/conversations.parquet").collect() if r["text"]]
-    assert got == sorted({(d, c, t) for d, s in docs for c, t, text in said if s in text})
-
-
 def test_findings_are_traced_by_snippet_and_title(spark):
     from sparrowhawk.operators import sessions
 

@@ -35,7 +35,9 @@ def test_equal(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, small, name):
-    assert registry.QUERIES[name](spark, small).count() >= 0
+    df = registry.QUERIES[name](spark, small)
+    rows = df.collect()
+    assert len(rows) > 0 or name == "line_rules"  # the core's rules find nothing in prose; core_rules has lines for each
 
 
 def test_contract(spark, small):
