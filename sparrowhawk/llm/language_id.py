@@ -49,6 +49,8 @@ STEPS = 8000
 MARGIN, MOST_REJECTED = 0.5, 0.1
 #: Where between the median of shuffled words (0) and nearly all calibration texts (1) the threshold of familiarity lies; part of the least calibration text's that it has at most.
 NEARER, BELOW_LEAST = 0.5, 0.95
+#: Runs of each length that are shuffled, about.
+SHUFFLED = 200
 
 
 def grams_of(word: str) -> list[int]:
@@ -202,7 +204,8 @@ def familiarity_thresholds(model: Model, rows: list[list[str]], seed: int = 11)
         runs = [w[s : s + n] for w in rows if len(w) >= n for s in sorted({0, (len(w) - n) // 2, len(w) - n})]
         runs += [w for w in rows if n <= len(w) < 2 * n]
         own = np.array([model.raw(r)[1] for r in runs])
-        other = np.array([model.raw([mixed(w) for w in r[:256]])[1] for r in runs])
+        some = runs[:: max(1, len(runs) // SHUFFLED)]
+        other = np.array([model.raw([mixed(w) for w in r[:64]])[1] for r in some])
         low, high = np.quantile(own, 0.01), np.median(other)
         between = NEARER * low + (1 - NEARER) * high if low > high else own.min()
         out.append(float(min(between, BELOW_LEAST * own.min())))
