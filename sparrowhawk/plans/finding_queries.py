@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, diff
 from ..operators import findings as ops
+from ..operators.graph import cut
 from ..schema import WEIGHTS
 from .samples import PAIRS
 from .base import COLUMNS, CONTROLS, EFFECTIVE_SQL, FINDINGS_SQL, RANK_SQL, RULES, apply_rules, doc_files, doc_findings, doc_lines, grade_sql, table
@@ -35,7 +36,7 @@ def findings_report(spark, d):
     """All findings of the documents, in the order of reports."""
     from ..schema import severity_rank
 
-    return ops.ranked(doc_findings(spark, d)).withColumn("severity_rank", severity_rank(F.col("severity")))
+    return ops.ranked(cut(doc_findings(spark, d))).withColumn("severity_rank", severity_rank(F.col("severity")))
 
 
 @query("sev_counts", sql("SELECT file, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in WEIGHTS) + " FROM findings GROUP BY file"))
