@@ -12,7 +12,7 @@ fifth of the sample is kept out of training, for calibration:
   training met, averaged over the words. A softmax over the learned languages can't tell a foreign text, whatever their number;
   familiarity can. For runs of 1, 2, 4, ... words the threshold lies between what the
   calibration texts have and what they have with the letters of each word shuffled, and under
-  all of the former.
+  all of the former. About SHUFFLED whole runs of each length are shuffled.
 
 The sample: ``per_language`` rows of each language that have a text, those with the least
 hashes; of each text at most its first TEXT_CHARS characters, and fewer where all languages'
@@ -205,7 +205,7 @@ def familiarity_thresholds(model: Model, rows: list[list[str]], seed: int = 11)
         runs += [w for w in rows if n <= len(w) < 2 * n]
         own = np.array([model.raw(r)[1] for r in runs])
         some = runs[:: max(1, len(runs) // SHUFFLED)]
-        other = np.array([model.raw([mixed(w) for w in r[:64]])[1] for r in some])
+        other = np.array([model.raw([mixed(w) for w in r])[1] for r in some])
         low, high = np.quantile(own, 0.01), np.median(other)
         between = NEARER * low + (1 - NEARER) * high if low > high else own.min()
         out.append(float(min(between, BELOW_LEAST * own.min())))
