@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rules, supply, taint
+from ..operators import rules, structure, supply, taint
 from ..operators.entropy import quoted_high_entropy
 from ..sources import files as readers
 from . import reports
@@ -58,6 +58,17 @@ def taint_js(spark, d):
     return taint.flows(_files(spark, d, "customer", "c_custkey", "f{}.js", _case("c_custkey", 4, *FLOWS))).select("file", "rule_id", "line", "via", "hops")
 
 
+#: What each text of CALLS breaks: index, rule, line.
+CALLS = ("db.find(\n  req.body)\n// eval(x)\nnew User(req.body)", "const s = 'eval(x)';\ncp.exec(\n  `ls ${d}{}`)", "function run(a) {\n  db.query('x' + a)\n}\nrun(req.query.q{})", "fetch(req.body.url); fs.readFile(req.query.p)", "<p>Don't eval(x)</p>")
+_BROKEN = [(0, "ast.nosql-injection", 1), (0, "ast.mass-assignment", 4), (1, "ast.command-injection", 2), (2, "taint.interprocedural", 4), (3, "ast.ssrf", 1), (3, "ast.path-traversal", 1)]
+
+
+@query("structure_js", "SELECT 'o' || o_orderkey || '.ts' AS file, v.r AS rule_id, v.l AS line FROM orders, (VALUES " + ", ".join(f"({i}, '{r}', {n})" for i, r, n in _BROKEN) + ") v(i, r, l) WHERE o_orderkey % 5 = v.i")
+def structure_js(spark, d):
+    """Calls by their structure; the last text can't be read and gives nothing."""
+    return structure.structural(_files(spark, d, "orders", "o_orderkey", "o{}.ts", _case("o_orderkey", 5, *CALLS))).select("file", "rule_id", "line")
+
+
 PY_FLOWS = (
     "def f():\n    a = request.args.get('x')\n    b = 'ls {}' + a\n    os.system(b)", "a = input()\nn = int(a)\nos.system(n)", "a = request.form['x']\ncursor.execute('select %s', (a,))", "def f():\n    a = input()\neval(a)", "a = input()\neval(a)\na = 1\neval(a)",
 )
