@@ -28,6 +28,7 @@ class Rule:
     enabled: bool = True
     unless_line: str | None = None  # a hit's line must not match
     unless_file: str | None = None  # nothing in the hit's file may match
+    shaping: tuple[str, ...] = ()  # further functions that take secrets out (patterns of names)
 
     @property
     def derived_confidence(self) -> str:

@@ -143,6 +143,11 @@ def dedupe_history(findings: DataFrame) -> DataFrame:
     return findings.withColumn("_m", F.left("match", F.lit(12))).dropDuplicates(["rule_id", "file", "_m"]).drop("_m")
 
 
+def dedupe_blobs(findings: DataFrame) -> DataFrame:
+    """One finding of each rule, file, line and match over all versions of a history, the least sha's; nulls are values like others."""
+    return first_of_each(findings, ["rule_id", "file", "line", "match"], ["sha"])
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """In the order of reports: severity, file, line, column, rule."""
     return findings.orderBy(severity_rank(F.col("severity")), "file", "line", "column", "rule_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -64,8 +65,8 @@ def call_arguments(line: str, opened: int) -> str | None:
     return None
 
 
-def leaks(field: str):
-    pattern, shaped = _i(field), _i(r"\b(?:" + "|".join(SHAPING) + r")\s*\(")
+def leaks(field: str, shaping: tuple[str, ...] = ()):
+    pattern, shaped = _i(field), _i(r"\b(?:" + "|".join([*SHAPING, *shaping]) + r")\s*\(")
 
     def test(line, m):
         inner = call_arguments(line, m.end() - 1)
@@ -88,6 +89,8 @@ def _connection(line, m):
     return not re.search(r":\/\/(?:user|username|root|admin):(?:pass|password|changeme|xxx+|\.\.\.)@", m[0], re.I) and not re.match(r"(?:mongodb|postgres(?:ql)?|mysql|redis):\/\/", m[0], re.I)
 
 
+#: Filters that look for a field in what a call gives away, unless a shaping function takes it out.
+LEAKS = {"leaks_secret_property": rf"\.(?:{SECRET_FIELD})\b", "leaks_pii_property": rf"\.(?:email|phone|{PII_FIELD})\b", "leaks_secret_word": rf"\b(?:{SECRET_FIELD})\b"}
 #: name -> (line, match) -> whether the hit stays
 FILTERS = {
     "mixed_case_body": lambda line, m: all(re.search(p, m[0].partition(":")[2]) for p in ("[A-Z]", "[a-z]", "[0-9]")),
@@ -101,9 +104,7 @@ FILTERS = {
     "unowned_id": _unowned,
     "private_route": lambda line, m: not PUBLIC_ROUTE.search(m[1].lower()),
     "suspicious_comparison": _comparison,
-    "leaks_secret_property": leaks(rf"\.(?:{SECRET_FIELD})\b"),
-    "leaks_pii_property": leaks(rf"\.(?:email|phone|{PII_FIELD})\b"),
-    "leaks_secret_word": leaks(rf"\b(?:{SECRET_FIELD})\b"),
+    **{name: leaks(field) for name, field in LEAKS.items()},
     "no_http_only": lambda line, m: (a := call_arguments(line, m.end() - 1)) is not None and "httponly" not in a.lower(),
     "upload_context": lambda line, m: bool(re.search(r"file|upload|multer|req\.file|\.originalname", line, re.I)),
 }
@@ -118,7 +119,7 @@ class Compiled:
         self.rule = rule
         self.pattern = re.compile(rule.pattern.replace("[^]", r"[\s\S]"), re.A | (re.I if rule.ignore_case else 0))
         self.literals = tuple(sorted(needed_literals(self.pattern.pattern) or ()))
-        self.keep = FILTERS.get(rule.filter)
+        self.keep = leaks(LEAKS[rule.filter], rule.shaping) if rule.shaping and rule.filter in LEAKS else FILTERS.get(rule.filter)
         self.files = re.compile(rule.file_filter) if rule.file_filter else None
         self.line_guard = re.compile(rule.unless_line) if rule.unless_line else None
         self.file_guard = re.compile(rule.unless_file) if rule.unless_file else None
@@ -178,6 +179,24 @@ def match_rules(files: DataFrame, rules: Iterable[Rule] = CORE) -> DataFrame:
     return rows.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("snippet")))
 
 
+def shaping_functions(config: dict) -> tuple[str, ...]:
+    r"""A configuration's shapingFunctions: names, in which \w and * may stand; anything else is left out."""
+    names = [x for x in config.get("shapingFunctions") or [] if isinstance(x, str) and re.fullmatch(r"[\w\\*]+", x, re.A)]
+    out = []
+    for name in names:
+        try:
+            re.compile(name)
+        except re.error:
+            continue
+        out.append(name)
+    return tuple(out)
+
+
+def with_shaping(rules: Iterable[Rule], names: tuple[str, ...]) -> list[Rule]:
+    """Rules whose filters for leaks know further shaping functions."""
+    return [replace(r, shaping=(*r.shaping, *names)) if names and r.filter in LEAKS else r for r in rules]
+
+
 def custom_rules(config: dict) -> list[Rule]:
     """Rules of a configuration's customRules; ids are cleaned, unknown severities high, patterns that don't compile skipped."""
     out = []

@@ -10,13 +10,15 @@ from ..functions.text import fingerprint
 from . import entropy, findings as ops
 from .catalog import CORE, Rule
 from .lines import explode_lines
+from .plugins import Plugins, run_plugins
 from .propagation import propagated
-from .rules import custom_rules, file_rules, match_rules
+from .rules import custom_rules, file_rules, match_rules, shaping_functions, with_shaping
+from .structure import analysed, replace_line_rules, structural
 from .taint import JS_SINKS, cross_file_flows, flows
 
 COLUMNS = ["pass_rank", "rule_id", "severity", "confidence", "title", "cwe", "file", "line", "column", "snippet"]
 #: Findings on one place by two passes are told as the first pass's.
-PASSES = ("line", "file", "propagation", "flow", "cross-file", "entropy")
+PASSES = ("line", "file", "propagation", "structure", "flow", "cross-file", "entropy", "plugin")
 
 
 def _pass(df: DataFrame, name: str, **given) -> DataFrame:
@@ -26,23 +28,26 @@ def _pass(df: DataFrame, name: str, **given) -> DataFrame:
     return df.select(*[has(c).cast("int" if c in ("pass_rank", "line", "column") else "string").alias(c) for c in COLUMNS])
 
 
-def passes(files: DataFrame, rules: Iterable[Rule] = CORE) -> DataFrame:
-    """The union of all passes over files (file, content): COLUMNS."""
+def passes(files: DataFrame, rules: Iterable[Rule] = CORE, shaping: tuple[str, ...] = (), plugins: Plugins | None = None) -> DataFrame:
+    """The union of all passes over files (file, content): COLUMNS. shaping: further functions that take secrets out."""
     lines = _pass(match_rules(files, rules), "line")
     severity = {rule: s for rule, s, _, _ in JS_SINKS}
     cross = cross_file_flows(files)
     cross = cross.withColumn("severity", ops.choose(F.col("rule_id"), severity, "high")).withColumn("snippet", F.concat("target", F.lit("(...)")))
     quoted = entropy.quoted_high_entropy(files).select("file", "line", "column", F.lit("secret.high-entropy").alias("rule_id"), F.lit("high").alias("severity"), F.lit("low").alias("confidence"))
     tokens = entropy.high_entropy_tokens(files).select("file", "line", "column", F.lit("secret.high-entropy-token").alias("rule_id"), F.lit("high").alias("severity"))
+    added = [_pass(x, "plugin") for x in run_plugins(files, plugins)] if plugins else []
     return ops.union_all(
         [
             lines,
             _pass(file_rules(files), "file"),
-            _pass(propagated(files), "propagation"),
+            _pass(propagated(files, shaping), "propagation"),
+            _pass(structural(files), "structure"),
             _pass(flows(files), "flow"),
             _pass(cross, "cross-file"),
             _pass(quoted, "entropy"),
             _pass(tokens, "entropy"),
+            *added,
         ]
     )
 
@@ -56,14 +61,18 @@ def generic_entropy(found: DataFrame) -> DataFrame:
     return found.withColumn("_named", named).where(~(random & F.col("_named"))).drop("_named")
 
 
-def scan(files: DataFrame, rules: Iterable[Rule] = CORE, config: dict | None = None, name: str = "sparrowhawk") -> DataFrame:
+def scan(files: DataFrame, rules: Iterable[Rule] = CORE, config: dict | None = None, name: str = "sparrowhawk", plugins: Plugins | None = None) -> DataFrame:
     """Findings of a whole scan of files (file, content), with fingerprint and suppressed.
 
-    config: customRules, ignoreRules, ignorePaths, ignore (pairs), severityOverrides, minConfidence.
+    config: customRules, shapingFunctions, ignoreRules, ignorePaths, ignore (pairs), severityOverrides, minConfidence.
+    plugins: what plugins.load gives; a configuration does not name any, as that would run code of the files that are scanned.
     Null files are left out; equal rows of files are scanned once each and told once.
     """
     config = config or {}
-    found = passes(files, [*rules, *custom_rules(config)])
+    shaping = shaping_functions(config)
+    more = plugins.rules if plugins else []
+    found = passes(files, with_shaping([*rules, *more, *custom_rules(config)], shaping), shaping, plugins)
+    found = replace_line_rules(found, analysed(files))
     found = ops.dedupe(ops.supersede(generic_entropy(found)))
     found = ops.suppress_docs(found)
     found = ops.config_ignore(found, config.get("ignoreRules") or (), config.get("ignorePaths") or (), config.get("ignore") or ())

@@ -387,3 +387,28 @@ def outbound(spark, d):
     k = F.col("page_id")
     rows = table(spark, d, "pages").select("page_id", "url", F.when(k % 4 == 0, "/home/u/.ssh/id").when(k % 4 == 1, "app/.env").otherwise("src/a.js").alias("path"), F.when(k % 3 == 0, "sudo curl x").otherwise("ls").alias("command"))
     return commands.outbound(rows, ["example"]).select("page_id", F.array_join("refused", ",").alias("refused"), "allowed")
+
+
+_SENT_URL = "CASE page_id % 5 WHEN 0 THEN 'https://api.openai.com/v1' WHEN 1 THEN 'http://localhost:80/x' ELSE url END"
+_SENT_HEADERS = "CASE page_id % 3 WHEN 0 THEN 'authorization: AKIA' || repeat('Q', 16) ELSE 'accept: text/html' END"
+
+
+def _proxy_hits(text: str, kind: str) -> list[str]:
+    return [f"CASE WHEN {sql_matches(text, p, i)} THEN '{kind}' END" for p, i in commands.PROXY_SECRETS]
+
+
+@query(
+    "request_inspect",
+    f"""WITH r AS (SELECT page_id, coalesce({_SENT_URL}, '') AS url, {_SENT_HEADERS} AS headers, coalesce(html, '') AS body FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), ':[0-9]+$', ''), '^.*@', '') AS host FROM r),
+v AS (SELECT page_id, CASE WHEN {' OR '.join(f"host = '{t}' OR ends_with(host, '.{t}')" for t in commands.PROXY_TRUSTED)} THEN [] ELSE
+list_filter([{', '.join([f"CASE WHEN contains(host, '{b}') THEN 'blocked_domain' END" for b in commands.PROXY_BLOCKED] + _proxy_hits('body', 'secret_exfil') + _proxy_hits('headers', 'secret_in_header'))}], lambda x: x IS NOT NULL) END AS l FROM h)
+SELECT page_id, array_to_string(l, ',') AS violations, len(l) = 0 AS allowed FROM v""",
+)
+def request_inspect(spark, d):
+    """Pages' html as bodies of requests to their urls; every third carries a key in its headers."""
+    k = F.col("page_id")
+    url = F.when(k % 5 == 0, "https://api.openai.com/v1").when(k % 5 == 1, "http://localhost:80/x").otherwise(F.col("url"))
+    headers = F.when(k % 3 == 0, "authorization: AKIA" + "Q" * 16).otherwise("accept: text/html")
+    rows = table(spark, d, "pages").select("page_id", url.alias("url"), headers.alias("headers"), F.col("html").alias("body"))
+    return commands.inspect_requests(rows, with_pii=False).select("page_id", F.array_join("violations", ",").alias("violations"), "allowed")

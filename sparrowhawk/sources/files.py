@@ -147,7 +147,7 @@ def rule_pack(spark: SparkSession, path: str, dead: tuple[str, ...] = ()) -> lis
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     if path.endswith((".json", ".jsonl")):
         rows = [json.loads(x) for x in text.splitlines() if x.strip()]
-        return [Rule(**{k: v for k, v in r.items() if k in Rule.__dataclass_fields__}) for r in rows if r.get("pattern")]
+        return [Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items() if k in Rule.__dataclass_fields__}) for r in rows if r.get("pattern")]
     out = []
     for m in _OBJECT.finditer(text):
         body = m["rest"]
@@ -179,6 +179,6 @@ def catalogue(spark: SparkSession, path: str | None = None) -> list[Rule]:
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The catalogue as a DataFrame."""
-    names = list(Rule.__dataclass_fields__)
+    names = [n for n in Rule.__dataclass_fields__ if n != "shaping"]
     kinds = [T.BooleanType() if n in ("ignore_case", "skip_comments", "skip_in_string", "enabled") else T.StringType() for n in names]
     return spark.createDataFrame([tuple(getattr(r, n) for n in names) for r in rules], T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
