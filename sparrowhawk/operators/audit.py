@@ -181,9 +181,12 @@ def threat_model(files: DataFrame) -> DataFrame:
 
 
 def deploy_gates(gates: DataFrame) -> DataFrame:
-    """ready, failed, unknown of gates (gate, passed: null is unknown); unknown gates hold a deployment back."""
+    """n_gates, ready, failed, unknown of gates (gate, passed: null is unknown); unknown gates hold a deployment back, and so do none at all."""
     return gates.agg(
-        F.coalesce(F.bool_and(F.coalesce("passed", F.lit(False))), F.lit(False)).alias("ready"), F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("gate")))).alias("failed"), F.sort_array(F.collect_list(F.when(F.col("passed").isNull(), F.col("gate")))).alias("unknown")
+        F.count("*").alias("n_gates"),
+        F.coalesce(F.bool_and(F.coalesce("passed", F.lit(False))), F.lit(False)).alias("ready"),
+        F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("gate")))).alias("failed"),
+        F.sort_array(F.collect_list(F.when(F.col("passed").isNull(), F.col("gate")))).alias("unknown"),
     )
 
 
